@@ -18,7 +18,7 @@ NUMBER_PATTERN = rf"^[+-]?(?:{DIGITS}(?:[eE][+-]?[0-9]+)?|(?i:inf(?:inity)?))$"
 SERIES_PATTERN = r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
 BROADCAST_MAC = "ff:ff:ff:ff:ff:ff"
 
-SPACES = r" \t\r\n\f\u000b"
+SPACES = r" \t\r\n\u000b\u000c"
 
 
 def _quoted(pattern: str) -> str:
