@@ -141,9 +141,9 @@ def with_delta_features(laid: DataFrame, initial: bool = False) -> DataFrame:
     made = {
         "wlan_seq_delta": f"if({step} < 2048, {step}, {step} - 4096)",
         "addr_same_bssid_as_prev": _true(f"_bssid = {before('bssid')}"),
-        # greatest() would skip the NULL of a missing stamp, the subtraction keeps it.
+        # if() and not greatest(), which would turn a missing gap into 0.
         "frame_dt": "_dt",
-        "frame_dt_log": "log1p(greatest(_dt, 0D))",
+        "frame_dt_log": "log1p(if(_dt < 0, 0D, _dt))",
     }
     gap = f"_epoch - {before('epoch')}"
     prev = prev.selectExpr("*", f"coalesce(_delta, if({gap} < 0, 0D, {gap})) as _dt")
