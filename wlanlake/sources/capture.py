@@ -36,11 +36,13 @@ def _quoted(name: str) -> Column:
 def with_block_ids(df: DataFrame, path_column: str = "_path") -> DataFrame:
     """Session and block of every row, from where its file lies.
 
-    ``.../1.Deauth/Deauth_12.csv`` is block 12 of session Deauth.
+    ``.../1.Deauth/Deauth_12.csv`` is block 12 of session Deauth; the file may also be a
+    folder of part files.
     """
-    folder = F.regexp_extract(path_column, r"([^/]+)/[^/]+$", 1)
+    file = F.regexp_replace(path_column, "/part-[^/]*$", "")
+    folder = F.regexp_extract(file, r"([^/]+)/[^/]+$", 1)
     session = F.regexp_replace(folder, r"^[^.]*\.", "")
-    index = F.coalesce(F.regexp_extract(path_column, r"_([0-9]+)\.[^./]*$", 1).try_cast("int"), F.lit(0))
+    index = F.coalesce(F.regexp_extract(file, r"_([0-9]+)\.[^./]*$", 1).try_cast("int"), F.lit(0))
     return df.withColumn("session_id", session).withColumn(
         "block_id", F.format_string("%s:%04d", session, index)
     )
