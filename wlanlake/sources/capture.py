@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wlanlake import spec
 
 CORRUPT = "_corrupt_record"
+MALFORMED = "_malformed"
 BOOLEAN_CELLS = ["wlan.fc.retry", "wlan.fc.protected", "radiotap.channel.flags.cck"]
 
 
@@ -48,13 +49,23 @@ def with_block_ids(df: DataFrame, path_column: str = "_path") -> DataFrame:
     )
 
 
+def _is_malformed() -> Column:
+    """Whether a row has another width than the header.
+
+    The length test is always true; a scan that reads nothing but the record Spark could
+    not parse is refused, so one real column has to be looked at.
+    """
+    looked_at = F.coalesce(F.char_length(_quoted("Label")), F.lit(0)) >= 0
+    return (F.col(CORRUPT).isNotNull() & looked_at).alias(MALFORMED)
+
+
 def read_capture_csv(
     spark: SparkSession, path, *, skip_sessions: list[str] | None = None, malformed: bool = False
 ) -> DataFrame:
     """Capture rows as text cells under flat names, with session, block and frame number.
 
     Only the columns the features consume are parsed; one the file lacks becomes NULL.
-    With ``malformed`` the scan also carries ``_corrupt_record``, for which every column
+    With ``malformed`` the scan also carries the flag ``_malformed``, for which every column
     has to be parsed.
     """
     header = _header(spark, path)
@@ -81,7 +92,7 @@ def read_capture_csv(
         F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("_path"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_line"),
-        *([F.col(CORRUPT)] if malformed else []),
+        *([_is_malformed()] if malformed else []),
     )
     out = with_block_ids(scanned)
     if skip_sessions:
@@ -115,11 +126,10 @@ def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``df`` is a scan made with ``malformed=True``.
     """
-    bad = F.col(CORRUPT).isNotNull()
     counts = df.groupBy("session_id", "block_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("malformed")
+        F.count(F.lit(1)).alias("rows"), F.count_if(MALFORMED).alias("malformed")
     )
-    return df.filter(~bad).drop(CORRUPT), counts
+    return df.filter(~F.col(MALFORMED)).drop(MALFORMED), counts
 
 
 def check_export_format(df: DataFrame) -> DataFrame:
