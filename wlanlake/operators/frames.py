@@ -14,11 +14,11 @@ RAW_COLUMNS = [spec.flat(c) for c in spec.SOURCE_COLUMNS]
 
 
 def _num(name: str) -> str:
-    return cells.first_number(spec.flat(name))
+    return cells.first_number(spec.flat(name), clean=True)
 
 
 def _int(name: str) -> str:
-    return cells.first_int(spec.flat(name))
+    return cells.first_int(spec.flat(name), clean=True)
 
 
 def _flag(name: str) -> str:
@@ -26,7 +26,7 @@ def _flag(name: str) -> str:
 
 
 def _present(*names: str) -> str:
-    flags = [cells.present(spec.flat(n)) for n in names]
+    flags = [cells.present(spec.flat(n), clean=True) for n in names]
     return flags[0] if len(flags) == 1 else f"greatest({', '.join(flags)})"
 
 
@@ -38,7 +38,7 @@ def _true(condition: str) -> str:
 def row_features() -> dict[str, str]:
     """SQL of the features that need no other row, keyed by their dotted names.
 
-    Reads the raw columns and the normalised addresses ``_sa``, ``_da``, ``_ta``, ``_bssid``.
+    Reads the stripped raw columns and the normalised addresses ``_sa``, ``_da``, ``_ta``, ``_bssid``.
     """
     ssid = "wlan_ssid"
     return {
@@ -75,8 +75,8 @@ def row_features() -> dict[str, str]:
         "mgmt.beacon_interval": _num("wlan.fixed.beacon"),
         "mgmt.cap_ess": _flag("wlan.fixed.capabilities.ess"),
         "mgmt.cap_ibss": _flag("wlan.fixed.capabilities.ibss"),
-        "mgmt.ssid_len": f"if({cells.present(ssid)} = 1, char_length({cells.strip(ssid)}), null)",
-        "mgmt.tag_len": cells.sum_number("wlan_tag_length"),
+        "mgmt.ssid_len": f"if({cells.present(ssid, clean=True)} = 1, char_length({ssid}), null)",
+        "mgmt.tag_len": cells.sum_number("wlan_tag_length", clean=True),
         "rsn.mfpc": _flag("wlan.rsn.capabilities.mfpc"),
         "rsn.has_pmkid": _present("wlan.rsn.ie.pmkid"),
         "rsn.country_present": _present("wlan.country_info.code"),
@@ -106,11 +106,14 @@ def with_row_features(df: DataFrame) -> DataFrame:
     if missing:
         df = df.selectExpr("*", *[f"cast(null as string) as {c}" for c in missing])
     keep = [c for c in df.columns if c not in RAW_COLUMNS]
-    addressed = df.selectExpr(
-        "*", *[f"{cells.norm_mac(f'wlan_{a}')} as _{a}" for a in _ADDRESSES]
+    # Cells are stripped once, in a projection of their own, as each is looked at many times.
+    stripped = df.selectExpr(
+        *[f"`{c}`" for c in keep],
+        *[f"{cells.strip(c)} as {c}" for c in RAW_COLUMNS],
+        *[f"{cells.norm_mac(f'wlan_{a}')} as _{a}" for a in _ADDRESSES],
     )
     delta = _num("frame.time_delta")
-    return addressed.selectExpr(
+    return stripped.selectExpr(
         *[f"`{c}`" for c in keep],
         *[f"cast({sql} as float) as {spec.flat(name)}" for name, sql in row_features().items()],
         f"{_int('wlan.seq')} as _seq",
