@@ -62,15 +62,15 @@ def gather_windows(
     return windows.select("block_id", "start", by_feature.alias("features"))
 
 
-def inference_chunks(df: DataFrame, chunk: int, context: int, **tiling) -> DataFrame:
+def inference_chunks(df: DataFrame, size: int, context: int, **tiling) -> DataFrame:
     """Tiles ``(ctx_start, pred_start, pred_end)`` that predict every frame exactly once."""
     placed = with_position(df.select("block_id", "frame_number"), **_position_tiling(tiling))
     rn = F.col("rn")
-    return placed.filter(rn % chunk == 0).select(
+    return placed.filter(rn % size == 0).select(
         "block_id",
         F.greatest(F.lit(0), rn - context).cast("long").alias("ctx_start"),
         rn.alias("pred_start"),
-        F.least(rn + chunk, F.col("n_rows")).cast("long").alias("pred_end"),
+        F.least(rn + size, F.col("n_rows")).cast("long").alias("pred_end"),
     )
 
 
