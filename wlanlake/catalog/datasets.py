@@ -90,7 +90,20 @@ def _iqr(df):
     return out.withColumn("outlier_pct", F.round("outlier_pct", 6))
 
 
-@query("spearman_corr", lines)
+def _rho(a: str, b: str) -> str:
+    ranks = ", ".join(
+        f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)::DOUBLE AS {n}" for c, n in ((a, "p"), (b, "q"))
+    )
+    both = f"SELECT {a}, {b} FROM x WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+    return f"SELECT '{a}' AS a, '{b}' AS b, round(corr(p, q), 6) AS rho FROM (SELECT {ranks} FROM ({both}) n) r"
+
+
+@query(
+    "spearman_corr",
+    lines,
+    f"WITH {_LINES} " + " UNION ALL ".join(_rho(a, b) if a != b else f"SELECT '{a}', '{a}', 1.0::DOUBLE" for a in NUMERIC for b in NUMERIC)
+    .replace("SELECT 'l_quantity', 'l_quantity', 1.0::DOUBLE", "SELECT 'l_quantity' AS a, 'l_quantity' AS b, 1.0::DOUBLE AS rho"),
+)
 def _spearman(df):
     return quality.spearman(df, NUMERIC).withColumn("rho", F.round("rho", 6))
 
@@ -224,11 +237,17 @@ def _pandas_like(spark, sf_dir):
     )
 
 
-@query("coerce_mixed", _pandas_like)
+@query(
+    "coerce_mixed",
+    _pandas_like,
+    "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN user_id::DOUBLE END AS mostly, "
+    "CASE WHEN event_id % 10 < 4 THEN CAST(user_id AS VARCHAR) ELSE event_type END AS rarely, (event_id % 100)::DOUBLE AS hexed, value "
+    "FROM events WHERE event_id % 5 = 0",
+)
 def _coerce(df):
     train, test = df.filter("event_id % 5 <> 0"), df.filter("event_id % 5 = 0")
-    (train, test), _, _ = dataset.coerce_mixed(train, [test])
-    return test
+    (train, test), numeric, _ = dataset.coerce_mixed(train, [test])
+    return test.withColumns({c: F.col(c).cast("double") for c in numeric})
 
 
 def _weights_sql(expr: str) -> str:

@@ -217,7 +217,11 @@ def _purge(spark, sf_dir):
     return kept.select("id", stamp().alias("ts"), "predicted_label")
 
 
-@query("label_spellings")
+@query(
+    "label_spellings",
+    f"WITH {FRAME_KEYS} SELECT CASE label WHEN 1 THEN 'deauth' WHEN 7 THEN 'Evil_Twin' WHEN 8 THEN 'SDDP' ELSE 'Normal' END AS raw_label, "
+    "count(*) AS rows, NULL::BIGINT AS unknown FROM f0 GROUP BY 1",
+)
 def _spellings(spark, sf_dir):
     """Raw spellings of a capture and their rows, known ones included."""
     rows = capture.read_capture_csv(spark, capture_files(spark, sf_dir))

@@ -136,7 +136,7 @@ def _model_row(df):
     )
 
 
-@query("causality_probe")
+@query("causality_probe", "SELECT 0::BIGINT AS changed_past_rows")
 def _causal(df):
     """How many past rows move when the future is perturbed: none."""
     stored = store(df.select(*KEYS, *rollups.INPUTS), "features")
@@ -224,12 +224,32 @@ query(
 )(lambda df: capture.null_sentinels(df).selectExpr("frame_number", "wlan_rsn_ie_pmkid as pmkid"))
 
 
-@query("analysis_columns", source=raw_frames)
+@query(
+    "analysis_columns",
+    "WITH " + EVENTS + " SELECT event_id AS frame_number, k % 4 AS ds, "
+    "'frame_len,frame_time_delta,radiotap_channel_flags_cck,radiotap_channel_flags_ofdm,radiotap_channel_freq,"
+    "radiotap_datarate,radiotap_dbm_antsignal,radiotap_length,radiotap_rxflags,raw_label,wlan_country_info_code,wlan_duration,"
+    "wlan_fc_ds,wlan_fc_frag,wlan_fc_moredata,wlan_fc_order,wlan_fc_protected,wlan_fc_pwrmgt,wlan_fc_retry,wlan_fc_subtype,"
+    "wlan_fc_type,wlan_fcs_bad_checksum,wlan_fixed_beacon,wlan_fixed_capabilities_ess,wlan_fixed_capabilities_ibss,"
+    "wlan_fixed_reason_code,wlan_radio_data_rate,wlan_radio_phy,wlan_radio_signal_dbm,wlan_rsn_capabilities_mfpc,wlan_seq' AS columns FROM e",
+    source=raw_frames,
+)
 def _analysis(df):
-    return capture.select_analysis_columns(df)
+    kept = capture.select_analysis_columns(df)
+    names = ",".join(sorted(kept.columns))
+    numbered = df.select("frame_number", *kept.columns)
+    return numbered.select("frame_number", F.col("wlan_fc_ds").cast("long").alias("ds"), F.lit(names).alias("columns"))
 
 
-query("excluded_columns", source=raw_frames)(capture.excluded_report)
+query(
+    "excluded_columns",
+    "WITH " + EVENTS + ", x AS (SELECT count(*) AS n, count(*) FILTER (k % 7 = 0) AS mactime, count(*) FILTER (event_id % 97 <> 0) AS sa, "
+    "count(*) FILTER (k % 2 = 1 OR event_id % 97 <> 0) AS ta, count(*) FILTER (event_id % 5 <> 0) AS bssid, "
+    "count(*) FILTER (event_type = 'error') AS ssid FROM e) SELECT * FROM (SELECT unnest(['frame.time_epoch', 'radiotap.mactime', 'wlan.ssid', "
+    "'wlan.sa', 'wlan.da', 'wlan.bssid', 'wlan.ta']) AS column, unnest(['capture clock', 'radio counter', 'identity', 'identity', "
+    "'identity', 'identity', 'identity']) AS reason, unnest([n, mactime, ssid, sa, n, bssid, ta]) AS rows FROM x) t",
+    source=raw_frames,
+)(capture.excluded_report)
 
 
 # ---- windows --------------------------------------------------------------------------------
@@ -320,9 +340,23 @@ def _densest(df):
 _GATHER = ["frame_len", "radio_signal_dbm", "fc_retry"]
 
 
-@query("gather_windows")
+@query(
+    "gather_windows",
+    with_frames(
+        "SELECT s.block_id, s.start, count(*) AS rows, "
+        + ", ".join(f"sum(CAST(p.{c} AS DOUBLE)) AS sum_{c}" for c in _GATHER)
+        + " FROM s JOIN p ON p.block_id = s.block_id AND p.rn BETWEEN s.start AND s.start + 63 GROUP BY 1, 2",
+        "p AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY frame_number) - 1 AS rn, count(*) OVER (PARTITION BY block_id) AS n FROM frames)",
+        "s AS (SELECT block_id, rn AS start FROM p WHERE n >= 64 AND ((rn % 32 = 0 AND rn < n - 64) OR rn = n - 64))",
+    ),
+)
 def _gather(df):
-    return windows.gather_windows(df, _GATHER, 64, 32)
+    made = windows.gather_windows(df, _GATHER, 64, 32)
+    sums = [
+        f"reduce(features[{i}], cast(null as double), (a, x) -> if(x is null, a, coalesce(a, 0D) + x)) as sum_{c}"
+        for i, c in enumerate(_GATHER)
+    ]
+    return made.selectExpr("block_id", "start", "bigint(size(features[0])) as rows", *sums)
 
 
 @query(

@@ -18,9 +18,11 @@ FIT = {"trees": [8], "depth": 6}
 COLUMNS = spec.FLAT_MODEL_COLUMNS
 
 
-def query(name: str):
+def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
         return fn
 
     return add
@@ -118,7 +120,11 @@ def _dropped(spark, sf_dir):
     return training.drop_features_retrain(train, test, gone, COLUMNS, **FIT)
 
 
-@query("contract_check")
+@query(
+    "contract_check",
+    "SELECT * FROM (VALUES ('missing', 'fc_ds', ''), ('extra', '', 'fc_dss'), ('type', 'fc_type float', 'fc_type double')) "
+    "t(kind, expected, found) UNION ALL SELECT 'class id', '0..8', count(*) || ' rows' FROM events WHERE event_id % 100 = 0",
+)
 def _contract(spark, sf_dir):
     """Faults of a table with one column renamed, one of another type and odd class ids."""
     rows = model_rows_from_raw(labelled_frames(spark, sf_dir))

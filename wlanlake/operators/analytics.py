@@ -217,26 +217,27 @@ def compare_previous(df: DataFrame, as_of, minutes: int) -> DataFrame:
 # ---- summaries ---------------------------------------------------------------------
 
 
-def front_totals(df: DataFrame, as_of=None, *, days: int | None = None) -> DataFrame:
-    """Count per front key in display order, with everything unknown under ``other``."""
-    counts = filter_days(df, as_of, days).groupBy(front_type("predicted_label").alias("type")).agg(_count())
-    names = spec.FRONT_TYPES + ["other"]
-    frame = spine(df.sparkSession, [(i, t) for i, t in enumerate(names)], "pos int, type string")
-    return zero_fill(frame, counts, ["type"])
-
-
 def report_summary(df: DataFrame, as_of, *, days: int = 30) -> DataFrame:
-    """Headline row: totals by front key, their sum, the commonest, peak hour, unique sources."""
+    """Headline row: totals by front key, their sum, the commonest, peak hour, unique sources.
+
+    Totals and peak hour come from one count per front key and hour, at most 225 rows.
+    """
     rows = filter_days(df, as_of, days)
+    cells = rows.groupBy(front_type("predicted_label").alias("type"), F.hour("ts").alias("hour")).agg(_count())
+    by_type = cells.groupBy("type").agg(F.sum("count").alias("count"))
+    frame = spine(
+        df.sparkSession, [(i, t) for i, t in enumerate(spec.FRONT_TYPES + ["other"])], "pos int, type string"
+    )
     # A front key's first place among equals is its display position.
     rank = F.struct(F.col("count"), -F.col("pos"))
-    totals = front_totals(df, as_of, days=days).agg(
+    totals = zero_fill(frame, by_type, ["type"]).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "count")))).alias("totals"),
         F.sum("count").alias("total_attacks"),
         F.max_by("type", rank).alias("_most"),
     )
-    hours = rows.filter(F.col("ts").isNotNull()).groupBy(F.hour("ts").alias("hour")).agg(_count())
-    peak = hours.agg(F.coalesce(F.max_by("hour", F.struct(F.col("count"), -F.col("hour"))), F.lit(0)).alias("peak_hour"))
+    by_hour = cells.filter("hour is not null").groupBy("hour").agg(F.sum("count").alias("count"))
+    first = F.struct(F.col("count"), -F.col("hour"))
+    peak = by_hour.agg(F.coalesce(F.max_by("hour", first), F.lit(0)).alias("peak_hour"))
     sources = rows.agg(F.count_distinct("src_mac").alias("unique_sources"))
     most = F.when(F.col("total_attacks") > 0, F.col("_most")).otherwise("other")
     # Three single-row results side by side.

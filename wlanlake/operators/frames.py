@@ -168,8 +168,15 @@ def derive_frame_features(df: DataFrame, **tiling) -> DataFrame:
     and ``frame_number``. Rows to be dropped must be dropped before: the delta features
     look at the previous row that is there.
     """
-    laid = tile_rows(with_row_features(df), carry=carry_columns(), **tiling)
-    return own_rows(with_delta_features(laid))
+    return finish_features(with_row_features(df), **tiling)
+
+
+def finish_features(parsed: DataFrame, **tiling) -> DataFrame:
+    """Rows of :func:`with_row_features` -> complete features.
+
+    A separate step, so that a costly scan can be parsed once and stored in between.
+    """
+    return own_rows(with_delta_features(tile_rows(parsed, carry=carry_columns(), **tiling)))
 
 
 def observed_times(df: DataFrame, ts: str = "epoch", **tiling) -> DataFrame:

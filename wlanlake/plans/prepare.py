@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from wlanlake import spec
 from wlanlake.functions.labels import label_id, normalise_label
-from wlanlake.operators.dataset import unknown_labels
-from wlanlake.operators.frames import derive_frame_features
-from wlanlake.sources.capture import check_export_format, read_capture_csv, split_malformed
+from wlanlake.operators.frames import finish_features, with_row_features
+from wlanlake.session import store
+from wlanlake.sources.capture import MALFORMED, has_word_booleans, read_capture_csv
 from wlanlake.sources.shards import existing_blocks, read_features, write_features
 
 
-def usable_rows(scan: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the right width, format and label, and the blocks that were rejected.
-
-    Everything to be dropped goes before the features, whose deltas look at neighbours.
-    """
-    good, _ = split_malformed(scan)
-    rejected = check_export_format(good).filter("rejected")
-    accepted = good.join(rejected.select("block_id"), "block_id", "left_anti")
-    labelled = accepted.withColumn("label", label_id(normalise_label("raw_label")))
-    return labelled.filter("label is not null"), rejected
+def parse_capture(scan: DataFrame) -> DataFrame:
+    """Rows of a scan with everything that can be told from the row alone: its features, its
+    class, and the flags that decide whether it is used."""
+    flagged = scan.withColumns(
+        {
+            "label": label_id(normalise_label("raw_label")),
+            "spelling": F.col("raw_label"),
+            "_words": has_word_booleans(),
+        }
+    )
+    return with_row_features(flagged)
 
 
 def prepare_features(
@@ -35,20 +36,25 @@ def prepare_features(
 ) -> DataFrame:
     """Write the features of all capture files; returns one summary row.
 
-    Blocks already in ``target`` are skipped. ``blocks`` restricts the job to a sample.
+    The text files are read once; the parsed rows are stored, and every further step reads
+    the few columns it needs of them. Blocks already in ``target`` are skipped. ``blocks``
+    restricts the job to a sample.
     """
-    scan = read_capture_csv(
-        spark, source, skip_sessions=skip_sessions if skip_sessions is not None else spec.SKIP_FOLDERS, malformed=True
-    )
+    skipped = spec.SKIP_FOLDERS if skip_sessions is None else skip_sessions
+    scan = read_capture_csv(spark, source, skip_sessions=skipped, malformed=True)
     if blocks is not None:
         scan = scan.join(blocks.select("block_id"), "block_id", "left_semi")
     fresh = scan.join(existing_blocks(spark, target), "block_id", "left_anti")
-    rows, rejected = usable_rows(fresh)
-    write_features(derive_frame_features(rows), target)
+    parsed = store(parse_capture(fresh), "parsed")
+
+    good = parsed.filter(~F.col(MALFORMED))
+    rejected = good.filter("_words").select("block_id").distinct()
+    # Everything to be dropped goes before the deltas, which look at the previous row.
+    usable = good.filter("label is not null").join(rejected, "block_id", "left_anti")
+    write_features(finish_features(usable), target)
 
     n = F.count(F.lit(1))
-    written = read_features(spark, target)
-    counts = written.agg(
+    counts = read_features(spark, target).agg(
         n.alias("rows"),
         F.count_distinct("block_id").alias("blocks"),
         *[
@@ -56,11 +62,8 @@ def prepare_features(
             for i, c in enumerate(spec.CLASSES)
         ],
     )
-    malformed = split_malformed(scan)[1].agg(
-        F.coalesce(F.sum("malformed"), F.lit(0)).cast("long").alias("malformed")
-    )
-    unknown = unknown_labels(split_malformed(scan)[0]).agg(
-        F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("unknown_label_rows")
+    dropped = parsed.agg(
+        F.count_if(MALFORMED).alias("malformed"),
+        F.count_if(~F.col(MALFORMED) & F.col("label").isNull()).alias("unknown_label_rows"),
     )
-    bad = rejected.agg(n.alias("rejected_blocks"))
-    return counts.crossJoin(malformed).crossJoin(unknown).crossJoin(bad)
+    return counts.crossJoin(dropped).crossJoin(rejected.agg(n.alias("rejected_blocks")))

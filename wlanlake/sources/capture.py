@@ -132,18 +132,18 @@ def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(~F.col(MALFORMED)).drop(MALFORMED), counts
 
 
-def check_export_format(df: DataFrame) -> DataFrame:
-    """Blocks whose booleans are words: their export would silently read as all zero."""
+def has_word_booleans() -> Column:
+    """Whether a row spells its booleans as words: its export would silently read as all zero."""
+    words = [
+        F.coalesce(F.lower(F.left(F.btrim(spec.flat(c)), F.lit(4))).isin("true", "fals"), F.lit(False))
+        for c in BOOLEAN_CELLS
+    ]
+    return F.greatest(*words)
 
-    def is_word(c: str) -> Column:
-        return F.lower(F.left(F.btrim(spec.flat(c)), F.lit(4))).isin("true", "fals")
 
-    flags = [F.coalesce(F.max(is_word(c)), F.lit(False)).alias(spec.flat(c)) for c in BOOLEAN_CELLS]
-    found = df.groupBy("session_id", "block_id").agg(*flags)
-    names = [spec.flat(c) for c in BOOLEAN_CELLS]
-    return found.withColumn(
-        "rejected", F.greatest(*[F.col(n) for n in names])
-    )
+def check_export_format(df: DataFrame) -> DataFrame:
+    """Blocks and whether they have to be rejected for their export format."""
+    return df.groupBy("session_id", "block_id").agg(F.max(has_word_booleans()).alias("rejected"))
 
 
 def require_export_format(df: DataFrame) -> DataFrame:

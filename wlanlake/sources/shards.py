@@ -28,7 +28,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def existing_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks a feature table already holds; partition names only, no file is opened."""
+    """Blocks a feature table already holds; the block is a folder name, so no column is read."""
     if not _exists(spark, path):
         return spark.createDataFrame([], "block_id string")
     return read_features(spark, path).select("block_id").distinct()
