@@ -235,8 +235,10 @@ def report_summary(df: DataFrame, as_of, *, days: int = 30) -> DataFrame:
         F.sum("count").alias("total_attacks"),
         F.max_by("type", rank).alias("_most"),
     )
-    by_hour = cells.filter("hour is not null").groupBy("hour").agg(F.sum("count").alias("count"))
-    first = F.struct(F.col("count"), -F.col("hour"))
+    by_hour = cells.groupBy("hour").agg(F.sum("count").alias("count"))
+    # Rows without a time are told apart here and not by a filter, which would be pushed into
+    # the scan and keep the counts above from being shared.
+    first = F.when(F.col("hour").isNotNull(), F.struct(F.col("count"), -F.col("hour")))
     peak = by_hour.agg(F.coalesce(F.max_by("hour", first), F.lit(0)).alias("peak_hour"))
     sources = rows.agg(F.count_distinct("src_mac").alias("unique_sources"))
     most = F.when(F.col("total_attacks") > 0, F.col("_most")).otherwise("other")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wlanlake.functions.timeparts import since
@@ -32,19 +32,26 @@ def source_rssi(
     )
 
 
-def rssi_ap_join(rssi: DataFrame, aps: DataFrame) -> DataFrame:
-    """Signal averages at access points of known place, with their weight.
-
-    The inventory is not hinted: the planner broadcasts it when it is small enough.
-    """
-    placed = aps.select(
+def placed_aps(aps: DataFrame) -> DataFrame:
+    """Inventory entries with a usable place."""
+    return aps.select(
         "bssid",
         "name",
         F.col("lat").try_cast("double").alias("lat"),
         F.col("lng").try_cast("double").alias("lng"),
     ).filter("bssid != '' and lat is not null and lng is not null")
-    weight = 1.0 / F.greatest(F.lit(1.0), F.abs("avg_rssi") + 1.0)
-    return rssi.join(placed, "bssid").withColumn("weight", weight)
+
+
+def _weight() -> Column:
+    return 1.0 / F.greatest(F.lit(1.0), F.abs("avg_rssi") + 1.0)
+
+
+def rssi_ap_join(rssi: DataFrame, aps: DataFrame) -> DataFrame:
+    """Signal averages at access points of known place, with their weight.
+
+    The inventory is not hinted: the planner broadcasts it when it is small enough.
+    """
+    return rssi.join(placed_aps(aps), "bssid").withColumn("weight", _weight())
 
 
 def estimate_origin(
@@ -55,16 +62,20 @@ def estimate_origin(
     minutes: int | None = None,
     src_mac: str | None = None,
 ) -> DataFrame:
-    """Weighted centre of the access points that heard each source; NULL when none is placed."""
-    rssi = source_rssi(df, as_of, minutes=minutes, src_mac=src_mac)
-    used = rssi_ap_join(rssi, aps)
-    total = F.sum("weight")
-    centres = used.groupBy("src_mac").agg(
-        F.count(F.lit(1)).alias("used"),
-        (F.sum(F.col("lat") * F.col("weight")) / total).alias("lat"),
-        (F.sum(F.col("lng") * F.col("weight")) / total).alias("lng"),
+    """Weighted centre of the access points that heard each source; NULL when none is placed.
+
+    The inventory has one row per BSSID when it is joined, so every signal average stays one
+    row, and counts and centre come from the same pass.
+    """
+    sites = placed_aps(aps).groupBy("bssid").agg(
+        F.count(F.lit(1)).alias("_aps"), F.sum("lat").alias("_lat"), F.sum("lng").alias("_lng")
     )
-    heard = rssi.groupBy("src_mac").agg(F.count(F.lit(1)).alias("points"), F.sum("n").alias("frames"))
-    return heard.join(centres, "src_mac", "left").withColumn(
-        "used", F.coalesce("used", F.lit(0).cast("long"))
+    heard = source_rssi(df, as_of, minutes=minutes, src_mac=src_mac).join(sites, "bssid", "left")
+    total = F.sum(F.col("_aps") * _weight())
+    return heard.groupBy("src_mac").agg(
+        F.count(F.lit(1)).alias("points"),
+        F.sum("n").alias("frames"),
+        F.coalesce(F.sum("_aps"), F.lit(0)).cast("long").alias("used"),
+        (F.sum(F.col("_lat") * _weight()) / total).alias("lat"),
+        (F.sum(F.col("_lng") * _weight()) / total).alias("lng"),
     )
