@@ -173,14 +173,12 @@ def rank_by_hash(
     )
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], coarse: int = 32
-) -> DataFrame:
-    """Exact quantiles with linear interpolation: rows ``(feature, q, value)``.
+def value_slices(df: DataFrame, columns: list[str], coarse: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Distinct values of columns, cut into slices of the value range.
 
-    Equal values are counted before anything else. Approximate quantiles cut the value
-    range into slices; only the slices that hold a wanted rank are sorted, each on its
-    own. Columns without any value have no rows in the result.
+    Returns the values ``(feature, x, n, slice)`` and the slices ``(feature, slice, before,
+    n_slice, total)``, where ``before`` counts the rows below the slice. Equal values are
+    counted before anything else; approximate quantiles place the cuts, the counts are exact.
     """
     pairs = F.array(
         *[F.struct(F.lit(c).alias("feature"), col_of(c).cast("double").alias("x")) for c in columns]
@@ -194,15 +192,15 @@ def exact_quantiles(
     cuts = long.groupBy("feature").agg(
         F.percentile_approx("x", F.array(*[F.lit(g) for g in grid]), splits * 5).alias("cuts")
     )
-    marks = F.transform(F.sequence(F.lit(coarse), F.lit(splits - 1), F.lit(coarse)), lambda i: F.get("cuts", i - 1))
-    cuts = cuts.withColumn("marks", marks)
+    steps = F.sequence(F.lit(coarse), F.lit(splits - 1), F.lit(coarse))
+    cuts = cuts.withColumn("marks", F.transform(steps, lambda i: F.get("cuts", i - 1)))
 
     def below(array: Column) -> Column:
         return F.aggregate(array, F.lit(0), lambda a, c: a + F.when(c < F.col("x"), 1).otherwise(0))
 
     # One row per feature, each of fixed length: small by construction. The slice of a value
     # is found in two short steps instead of one long one.
-    sliced = (
+    values = (
         counts.join(F.broadcast(cuts), "feature")
         .withColumn("step", below(F.col("marks")) * coarse)
         .select(
@@ -212,15 +210,26 @@ def exact_quantiles(
             (F.col("step") + below(F.slice("cuts", F.col("step") + 1, F.lit(coarse)))).alias("slice"),
         )
     )
-    slices = sliced.groupBy("feature", "slice").agg(F.sum("n").alias("n_slice"))
     order = Window.partitionBy("feature").orderBy("slice")
-    slices = slices.select(
+    slices = values.groupBy("feature", "slice").agg(F.sum("n").alias("n_slice")).select(
         "feature",
         "slice",
         (F.sum("n_slice").over(order) - F.col("n_slice")).alias("before"),
-        F.col("n_slice"),
+        "n_slice",
         F.sum("n_slice").over(Window.partitionBy("feature")).alias("total"),
     )
+    return values, slices
+
+
+def exact_quantiles(
+    df: DataFrame, columns: list[str], probs: list[float], coarse: int = 32
+) -> DataFrame:
+    """Exact quantiles with linear interpolation: rows ``(feature, q, value)``.
+
+    Only the slices that hold a wanted rank are sorted, each on its own. Columns without
+    any value have no rows in the result.
+    """
+    values, slices = value_slices(df, columns, coarse)
     wanted = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q")
     ranks = (
         slices.select("*", wanted)
@@ -228,20 +237,33 @@ def exact_quantiles(
         .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
         .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n_slice")))
     )
+    # At most two ranks per column and quantile.
     hit = ranks.select("feature", "slice", "before").distinct()
     inside = Window.partitionBy("feature", "slice").orderBy("x")
     placed = (
-        sliced.join(F.broadcast(hit), ["feature", "slice"])
+        values.join(F.broadcast(hit), ["feature", "slice"])
         .withColumn("hi", F.col("before") + F.sum("n").over(inside))
         .withColumn("lo", F.col("hi") - F.col("n"))
     )
-    picked = placed.join(F.broadcast(ranks.select("feature", "slice", "q", "at", "rank")), ["feature", "slice"]).filter(
-        (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    )
+    picked = placed.join(
+        F.broadcast(ranks.select("feature", "slice", "q", "at", "rank")), ["feature", "slice"]
+    ).filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     frac = F.max(F.col("at") - F.floor("at"))
     lower, upper = F.min_by("x", "rank"), F.max_by("x", "rank")
     return picked.groupBy("feature", "q").agg((lower + (upper - lower) * frac).alias("value"))
 
 
+def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rank of every distinct value, the mean rank among equals: rows ``(feature, x, rank)``."""
+    values, slices = value_slices(df, columns)
+    inside = Window.partitionBy("feature", "slice").orderBy("x")
+    upto = F.col("before") + F.sum("n").over(inside)
+    # At most 1024 slices per column.
+    offsets = F.broadcast(slices.select("feature", "slice", "before"))
+    return values.join(offsets, ["feature", "slice"]).select(
+        "feature", "x", (upto - (F.col("n") - 1) / 2.0).alias("rank")
+    )
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

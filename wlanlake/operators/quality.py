@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wlanlake.operators.layout import exact_quantiles
+from wlanlake.operators.layout import average_ranks, exact_quantiles
+from wlanlake.session import store
 
 
 def _long(wide: DataFrame, columns: list[str], fields: list[str]) -> DataFrame:
@@ -93,28 +92,35 @@ def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def _rank_correlations(df: DataFrame, columns: list[str]) -> list[tuple[str, str, float]]:
+    """Rank correlation of every two columns over rows that have all of them.
+
+    Values are ranked, not rows: each column meets the table of its distinct values, which
+    the planner broadcasts when it is small and otherwise splits where a value is very common.
+    """
+    ranks = store(average_ranks(df, columns), "ranks")
+    ranked = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    for c in columns:
+        of_column = ranks.filter(F.col("feature") == c).select(
+            F.col("x").alias(f"_x_{c}"), F.col("rank").alias(f"_rank_{c}")
+        )
+        ranked = ranked.join(of_column, F.col(c) == F.col(f"_x_{c}"))
+    pairs = list(combinations(columns, 2))
+    row = ranked.agg(*[F.corr(f"_rank_{a}", f"_rank_{b}").alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
+    return [(a, b, row[i]) for i, (a, b) in enumerate(pairs)]
+
+
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rank correlation of up to 20 columns; a pair uses the rows in which both have a value."""
     columns = columns[:20]
     counts = df.selectExpr(*[f"count_if({c} is null) as {c}" for c in columns]).first()
     full = [c for c in columns if counts[c] == 0]
-    found = []
-
-    def matrix(rows: DataFrame, names: list[str]):
-        packed = VectorAssembler(inputCols=names, outputCol="v").transform(rows.select(*names))
-        return Correlation.corr(packed, "v", "spearman").first()[0].toArray()
-
-    if len(full) > 1:
-        m = matrix(df, full)
-        found += [(a, b, float(m[i, j])) for i, a in enumerate(full) for j, b in enumerate(full)]
+    found = _rank_correlations(df, full) if len(full) > 1 else []
     for a, b in combinations(columns, 2):
-        if a in full and b in full:
-            continue
-        r = float(matrix(df.select(a, b).dropna(), [a, b])[0, 1])
-        found += [(a, b, r), (b, a, r)]
-    done = {(a, b) for a, b, _ in found}
-    found += [(c, c, 1.0) for c in columns if (c, c) not in done]
-    return df.sparkSession.createDataFrame(found, "a string, b string, rho double")
+        if a not in full or b not in full:
+            found += _rank_correlations(df.select(a, b).dropna(), [a, b])
+    both_ways = found + [(b, a, r) for a, b, r in found] + [(c, c, 1.0) for c in columns]
+    return df.sparkSession.createDataFrame(both_ways, "a string, b string, rho double")
 
 
 def _value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
