@@ -157,10 +157,12 @@ def _aps(spark, sf_dir):
     )
     path = work_dir(spark, "inventory")
     suppliers = table(spark, sf_dir, "supplier")
-    # The file format is one JSON document, so the entries are gathered into it.
-    document = suppliers.agg(F.to_json(F.struct(F.collect_list(entry).alias("aps"))).alias("value"))
-    document.coalesce(1).write.text(path)
-    return inventory.read_ap_locations(spark, path)
+    # One document per hundred suppliers, so that no document grows with the data.
+    documents = suppliers.groupBy(F.expr("s_suppkey div 100")).agg(
+        F.to_json(F.struct(F.collect_list(entry).alias("aps"))).alias("value")
+    )
+    documents.select("value").write.text(path)
+    return inventory.read_ap_locations(spark, path, per_line=True)
 
 
 _NUMBER = "user_id % 16"

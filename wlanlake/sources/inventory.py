@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 AP_SCHEMA = "bssid string, name string, lat double, lng double"
 
 
-def read_ap_locations(spark: SparkSession, path: str) -> DataFrame:
+def read_ap_locations(spark: SparkSession, path: str, *, per_line: bool = False) -> DataFrame:
     """Access points from a JSON array, or from an object with the array under ``aps``.
 
+    A file is one document, or with ``per_line`` every line is one, for large inventories.
     Entries that lack a field or a place are skipped; a missing or unreadable file gives no rows.
     """
     empty = spark.createDataFrame([], AP_SCHEMA)
     entry = "struct<bssid:string,name:string,lat:string,lng:string>"
     try:
-        text = spark.read.text(path, wholetext=True)
+        text = spark.read.text(path, wholetext=not per_line)
         listed = F.from_json("value", f"array<{entry}>")
         wrapped = F.from_json("value", f"struct<aps:array<{entry}>>")["aps"]
         is_list = F.startswith(F.ltrim("value"), F.lit("["))
