@@ -18,7 +18,8 @@ from wlanlake.streaming.features import StreamPaths, start_feature_stream
 
 QUERIES = {}
 ORACLES = {}
-FILES = 3
+BATCHES = 3
+FILES_PER_BATCH = 4
 
 
 def query(name: str, sql: str | None = None):
@@ -37,17 +38,17 @@ def in_files(df, order: str, name: str) -> str:
     path = work_dir(spark, name)
     stored = store(df, f"{name}-all")
     top = stored.agg(F.max(order)).first()[0] + 1
-    for i in range(FILES):
-        low, high = top * i // FILES, top * (i + 1) // FILES
+    for i in range(BATCHES):
+        low, high = top * i // BATCHES, top * (i + 1) // BATCHES
         part = stored.filter((F.col(order) >= low) & (F.col(order) < high))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(FILES_PER_BATCH).write.mode("append").parquet(path)
     return path
 
 
 def stream_of(df, order: str, name: str):
     """A stream that delivers the rows in several micro-batches."""
     path = in_files(df, order, name)
-    reader = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+    reader = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
     return reader.parquet(path)
 
 
