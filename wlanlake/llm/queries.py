@@ -7,6 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from wlanlake.llm.common import table
 from wlanlake.llm.exact_dedup import exact_dedup
 from wlanlake.llm.mixing import mix_sources
+from wlanlake.llm.packing import pack
+from wlanlake.llm.rans import token_files
+
+
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +27,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup, "op10_mix_sources": op10_mix_sources}
+QUERIES = {
+    "op5_pack": op5_pack,
+    "op6_token_files": op6_token_files,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op10_mix_sources": op10_mix_sources,
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
