@@ -27,8 +27,8 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, end_id: i
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                ids = encoder.encode(text) + end
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch))):
+                ids += end
                 n = len(ids) // 4
                 for at in range(0, n, length):
                     part = ids[4 * at : 4 * (at + length)]

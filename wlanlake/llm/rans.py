@@ -195,8 +195,8 @@ def token_counts(df: DataFrame, path: str, end_id: int) -> np.ndarray:
         encoder = word_encoder(path)
         total = np.zeros(end_id + 1, np.int64)
         for batch in batches:
-            for text in texts_of(batch):
-                got = np.bincount(np.frombuffer(encoder.encode(text), "<u4"), minlength=len(total))
+            for ids in encoder.encode(texts_of(batch)):
+                got = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
                 if len(got) > len(total):
                     total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
                 total[: len(got)] += got
@@ -255,8 +255,8 @@ def write_tokens(
             return pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], ["value"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                own = encoder.encode(text) + end
+            for doc, own in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch))):
+                own += end
                 names.append(doc)
                 ids.append(own)
                 tokens.append(len(own) // 4)

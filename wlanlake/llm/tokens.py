@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import operator
 import re
 
 import numpy as np
@@ -21,57 +23,93 @@ class WordEncoder:
     """Encodes whole texts like ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     For tokenizers that drop white space, lower-case, and then take each word by itself: the ids of a
-    text are those of its words, so words that were seen need no new call. A word of plain letters goes
-    to the tokenizer's model directly; any other word goes through the whole tokenizer. Memory is
-    bounded: the words are forgotten when there are ``most`` of them.
+    text are those of its words, so words that were seen need no new call. Words of plain letters are
+    spelt in the vocabulary's letters and go to the model many at a time; the end mark of the last token
+    of each tells them apart. Any other word goes through the whole tokenizer. Memory is bounded: the
+    words are forgotten when there are ``most`` of them, and texts are taken a few megabytes at a time.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 400_000, at_once: int = 2_000_000):
+        import json
+
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.words_only = Tokenizer.from_file(path)
+        self.words_only.normalizer = None
+        self.words_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        mark = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
         self.letters = _byte_letters()
-        self.most = most
+        self.most, self.at_once = most, at_once
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _ids(self, ids) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= self.most:
+    def _learn_pieces(self, pieces: list[str], each: int = 200) -> None:
+        spelt = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        lines = [" ".join(spelt[k : k + each]) for k in range(0, len(spelt), each)]
+        if not lines:
+            return
+        got = self.words_only.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, "<u4") for x in got])
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(pieces):
+            raise ValueError("a word has no end mark: this tokenizer does not take words one by one")
+        raw, stops = ids.tobytes(), (stops * 4).tolist()
+        self.pieces.update(zip(pieces, [raw[i:j] for i, j in zip([0, *stops], stops)]))
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, heads, tails, other = [], [], [], []
+        for w, text in zip(words, b"\n".join(words).decode("utf-8", "replace").split("\n")):
+            found = _PLAIN.fullmatch(text)
+            if found and "<|" not in text:
+                plain.append(w)
+                heads.append(found[1].lower())
+                tails.append(found[2])
+            else:
+                other.append((w, text))
+        parts = {*heads, *tails}
+        if not parts.issubset(self.pieces.keys()):
+            if len(self.pieces) + len(parts) > self.most:
                 self.pieces.clear()
-            spelt = piece.encode().decode("latin-1").translate(self.letters)
-            got = self.pieces[piece] = self._ids([t.id for t in self.model.tokenize(spelt)])
-        return got
-
-    def _word(self, raw: bytes) -> bytes:
-        word = raw.decode("utf-8", "replace")
-        plain = _PLAIN.fullmatch(word)
-        if plain and "<|" not in word:
-            return b"".join(self._piece(p) for p in (plain[1].lower(), plain[2]) if p)
-        return self._ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
-
-    def encode(self, text: bytes) -> bytes:
-        """Ids of a UTF-8 text as little-endian unsigned 32-bit integers."""
-        known = self.words
-        words = text.split()
+            self.pieces[""] = b""
+            self._learn_pieces(list(parts.difference(self.pieces)))
+        known = self.pieces.__getitem__
+        self.words.update(zip(plain, map(operator.add, map(known, heads), map(known, tails))))
+        for w, text in other:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            self.words[w] = np.array(ids, "<u4").tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts, each as little-endian unsigned 32-bit integers."""
+        watching = gc.isenabled()
+        gc.disable()  # a million small strings, none in a cycle, would be walked again and again
         try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        out = []
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                if len(known) >= self.most:
-                    known.clear()
-                got = known[w] = self._word(w)
-            out.append(got)
-        return b"".join(out)
+            return self._encode(texts)
+        finally:
+            if watching:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= self.at_once):
+                size += len(texts[end])
+                end += 1
+            split = [t.split() for t in texts[at:end]]
+            every = set().union(*split)
+            if not every.issubset(self.words.keys()):
+                new = every.difference(self.words)
+                if len(self.words) + len(new) > self.most:
+                    self.words.clear()
+                    new = every
+                self._learn(list(new))
+            out += [b"".join(map(self.words.__getitem__, words)) for words in split]
+            at = end
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
