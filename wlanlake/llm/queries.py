@@ -8,6 +8,7 @@ from wlanlake.llm.common import table
 from wlanlake.llm.exact_dedup import exact_dedup
 from wlanlake.llm.mixing import mix_sources
 from wlanlake.llm.packing import pack
+from wlanlake.llm.parity_join import near_duplicates
 from wlanlake.llm.rans import token_files
 
 
@@ -19,6 +20,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_pack": op5_pack,
     "op6_token_files": op6_token_files,
+    "op7_parity_join": op7_parity_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
