@@ -51,7 +51,7 @@ def mix_sources(
     whole: bool = False,
     seed: str = "mix",
 ) -> DataFrame:
-    """One row per row of ``df``: doc_id, size, source, source_size, target, taken.
+    """One row per row of ``df``: doc_id, size, source, source_size, target, taken, text_hash.
 
     A source's documents stand in order of a hash-random key; running totals of their sizes (sums per
     slice of the key range, then inside each slice) say how many words come before each. The budget, the
@@ -61,11 +61,15 @@ def mix_sources(
 
     Null and empty texts have size 0 and give nothing. Null is a source of its own. Rows that repeat an
     id are rows of their own; keys that tie are taken in order of size and then in any order, which
-    changes no total. An empty table gives no rows. Other columns are not read.
+    changes no total. An empty table gives no rows. Other columns are not read. ``text_hash`` is xxhash64
+    of the text.
     """
     sized = store(
         df.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")
+            F.col(id_col).alias("doc_id"),
+            F.col(source_col).alias("source"),
+            n_words(F.col(text_col)).alias("size"),
+            F.xxhash64(text_col).alias("text_hash"),
         ),
         "sizes",
     )
@@ -77,7 +81,7 @@ def mix_sources(
     named = sources.withColumnRenamed("source", "_source")
     rows = (
         sized.join(named, F.col("source").eqNullSafe(F.col("_source")))
-        .select("doc_id", "source", "size", "sid", "source_size", "target")
+        .select("doc_id", "source", "size", "text_hash", "sid", "source_size", "target")
         .withColumn("_key", order_key("doc_id", seed=seed))
     )
     placed = running_total(rows, "sid", sources.select("sid", "rows_in_group"), F.col("size"), "_key", "before")
@@ -90,5 +94,11 @@ def mix_sources(
     else:
         last = F.least(F.greatest(left, F.lit(0)), F.col("size"))
     return placed.select(
-        "doc_id", "size", "source", "source_size", "target", (rounds * F.col("size") + last).cast("long").alias("taken")
+        "doc_id",
+        "size",
+        "source",
+        "source_size",
+        "target",
+        (rounds * F.col("size") + last).cast("long").alias("taken"),
+        "text_hash",
     )

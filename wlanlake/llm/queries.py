@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wlanlake.llm.common import table
 from wlanlake.llm.exact_dedup import exact_dedup
+from wlanlake.llm.language import identify
 from wlanlake.llm.mixing import mix_sources
 from wlanlake.llm.packing import pack
 from wlanlake.llm.parity_join import near_duplicates
 from wlanlake.llm.rans import token_files
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -29,10 +34,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).drop("source")
+    return mix_sources(table(spark, sf_dir, "documents")).drop("source", "text_hash")
 
 
 QUERIES = {
+    "op3_language": op3_language,
     "op5_pack": op5_pack,
     "op6_token_files": op6_token_files,
     "op7_parity_join": op7_parity_join,
