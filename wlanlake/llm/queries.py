@@ -7,16 +7,39 @@ from pyspark.sql import DataFrame, SparkSession
 from wlanlake.llm.common import table
 from wlanlake.llm.exact_dedup import exact_dedup
 from wlanlake.llm.language import identify
+from wlanlake.llm.licenses import BETWEEN, COPYRIGHT, KNOWN, SPELLINGS, scan_licenses
+from wlanlake.llm.line_crf import line_quality
 from wlanlake.llm.mixing import mix_sources
 from wlanlake.llm.packing import pack
+from wlanlake.llm.pairwise_quality import rank_quality
 from wlanlake.llm.parity_join import near_duplicates
 from wlanlake.llm.rans import token_files
+from wlanlake.llm.warc import archive_pages
+
+
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = archive_pages(table(spark, sf_dir, "pages"))
+    return captures.selectExpr(
+        "metadata.page_id",
+        "response.payload_bytes",
+        "response.payload_digest",
+        "response.type as record_type",
+        "refers_to_page as refers_to",
+    )
+
+
+def op2_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -33,22 +56,70 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("source", "text_hash")
 
 
 QUERIES = {
+    "op1_warc_transactions": op1_warc_transactions,
+    "op2_license_digests": op2_license_digests,
     "op3_language": op3_language,
+    "op4_line_crf": op4_line_crf,
     "op5_pack": op5_pack,
     "op6_token_files": op6_token_files,
     "op7_parity_join": op7_parity_join,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_pairwise_quality": op9_pairwise_quality,
     "op10_mix_sources": op10_mix_sources,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _base32(digest: str) -> str:
+    """Base32 of a hex digest: five hex digits are a number below 2^20, which is four letters."""
+    digit = "(instr('0123456789abcdef', substr({0}, i * 5 + {1}, 1)) - 1) * {2}"
+    number = " + ".join(digit.format(digest, k + 1, 16 ** (4 - k)) for k in range(5))
+    letters = " || ".join(
+        f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ({number}) // {32**k} % 32 + 1, 1)" for k in (3, 2, 1, 0)
+    )
+    return f"array_to_string(list_transform(range(8), lambda i: {letters}), '')"
+
+
+def _canonical(text: str) -> str:
+    """The canonical form of licences, in SQL."""
+    out = f"regexp_replace({text}, '{COPYRIGHT}', chr(10), 'g')"
+    out = f"' ' || regexp_replace({out}, '{BETWEEN}', '  ', 'g') || ' '"
+    for other, word in SPELLINGS:
+        out = f"replace({out}, ' {other} ', ' {word} ')"
+    return f"trim(replace({out}, '  ', ' '), ' ')"
+
+
+_A_TO_Z = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
+
 ORACLES = {
+    "op1_warc_transactions": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+g AS (SELECT payload, min(page_id) AS first FROM p GROUP BY payload)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, {_base32("sha1(payload)")} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN g USING (payload)""",
+    "op2_license_digests": f"""
+WITH k AS (SELECT DISTINCT license, sha256({_canonical(_A_TO_Z.format("text"))}) AS text_digest
+  FROM (VALUES {_KNOWN}) AS known(license, text)),
+d AS (SELECT doc_id, {_A_TO_Z.format("coalesce(text, '')")} AS content FROM documents),
+n AS (SELECT doc_id, license FROM (SELECT doc_id, unnest(string_split(content, chr(10))) AS line FROM d) JOIN k
+  ON sha256({_canonical("line")}) = text_digest WHERE contains(line, 'licen')),
+l AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM n GROUP BY doc_id)
+SELECT doc_id, text_digest, license, coalesce(notices, '') AS notices
+FROM (SELECT doc_id, sha256({_canonical("content")}) AS text_digest FROM d)
+LEFT JOIN k USING (text_digest) LEFT JOIN l USING (doc_id)""",
     "op8_exact_dedup": f"""
 WITH d AS (SELECT doc_id, {_LOWER} AS content FROM documents),
 g AS (SELECT content, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY content)
