@@ -74,7 +74,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
     amount = inverse @ demand
-    for n in range(rounds):
+    for _ in range(rounds):
         duals = inverse.sum(axis=0)
         value, pattern = best_pattern(np.maximum(duals, 0), sizes, capacity)
         if value <= 1 + gap:
@@ -93,9 +93,6 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
         inverse[leaving] /= entering[leaving]
         others = np.arange(m) != leaving
         inverse[others] -= np.outer(entering[others], inverse[leaving])
-        if n % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            amount = np.maximum(inverse @ demand, 0)
     return basis, amount
 
 
