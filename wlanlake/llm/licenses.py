@@ -52,7 +52,7 @@ SPELLINGS = [
     ("judgement", "judgment"),
     ("whilst", "while"),
 ]
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z\n]*(\(c\)|©|[0-9<])|\(c\)|©|all rights reserved)[^\n]*"
 BETWEEN = r"[^\p{L}\p{N}]+"
 
 
