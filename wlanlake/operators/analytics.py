@@ -67,13 +67,12 @@ def top_offenders(df: DataFrame, as_of=None, *, days: int | None = None, limit:
     """Busiest source addresses, ties by address so that a limit means something."""
     if not 1 <= limit <= 500:
         raise ValueError("limit must be 1..500")
-    rows = filter_days(df, as_of, days).filter(F.col("src_mac").isNotNull())
+    rows = filter_days(df, as_of, days).filter(F.col("src_mac") != "")
     return (
         rows.groupBy(F.col("src_mac").alias("wlan_sa"))
         .agg(_count())
         .orderBy(F.desc("count"), F.asc("wlan_sa"))
         .limit(limit)
-        .filter(F.col("wlan_sa") != "")
     )
 
 

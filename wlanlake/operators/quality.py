@@ -111,8 +111,7 @@ def _rank_correlations(df: DataFrame, columns: list[str]) -> list[tuple[str, str
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rank correlation of up to 20 columns; a pair uses the rows in which both have a value."""
-    columns = columns[:20]
+    """Rank correlation of all the columns; a pair uses the rows in which both have a value."""
     counts = df.selectExpr(*[f"count_if({c} is null) as {c}" for c in columns]).first()
     full = [c for c in columns if counts[c] == 0]
     found = _rank_correlations(df, full) if len(full) > 1 else []
