@@ -221,6 +221,10 @@ def test_purge(spark, table, tmp_path):
 def test_adhoc_sql(spark, table):
     assert S.run_sql(spark, table, "select * from packets", max_rows=2).count() == 2
     assert S.run_sql(spark, table, "select * from packets limit 4", max_rows=2).count() == 4
+    everything = table.count()
+    assert S.run_sql(spark, table, "select * from packets").count() == everything
+    assert S.run_sql(spark, table, "select * from packets limit all", max_rows=2).count() == everything
+    assert S.run_sql(spark, table, "select * from packets limit 3 offset 1", max_rows=2).count() == 3
     with pytest.raises(ValueError):
         S.run_sql(spark, table, "drop table packets")
 

@@ -1,5 +1,6 @@
 """Splits, sampling, statistics, metrics and profiles against plain Python."""
 
+import hashlib
 import math
 from collections import Counter
 
@@ -18,32 +19,46 @@ def counts_table(spark, counts):
     return spark.createDataFrame([(b, *c) for b, c in counts.items()], schema)
 
 
-def greedy(counts, shares):
-    """The split rule said once more over plain dicts, for blocks whose order has no ties."""
+def block_hash(block, seed=0):
+    return hashlib.md5(f"{seed}:{block}".encode()).hexdigest()[:15]
+
+
+def rarest(counts):
+    """(rows, id) of each block's rarest attack class, or None."""
     totals = [sum(c[i] for c in counts.values()) for i in range(9)]
-    w = [1 / max(t, 1) for t in totals]
+    return {b: min(((totals[i], i) for i in range(1, 9) if c[i]), default=None) for b, c in counts.items()}
 
-    def rarity(c):
-        present = [totals[i] for i in range(1, 9) if c[i]]
-        return min(present) if present else math.inf
 
-    order = sorted(counts, key=lambda b: (rarity(counts[b]), -sum(counts[b][1:])))
-    held = {s: [0.0] * 9 for s in shares}
-    priority = {"train": 3.0, "val": 1.0, "test": 2.0}
+def split_plainly(counts, shares):
+    groups = {}
+    for b, found in rarest(counts).items():
+        g = found[1] if found else 0
+        groups.setdefault(g, []).append((counts[b][g], b))
     out = {}
-    for b in order:
-        best, top = None, -math.inf
-        for s, f in shares.items():
-            score = 0.0
-            for i in range(9):
-                score += w[i] * min(counts[b][i], max(totals[i] * f - held[s][i], 0))
-                if counts[b][i] and held[s][i] <= 0:
-                    score += 10 * priority[s] * w[i] * counts[b][i]
-            score += 1e-6 * (f * sum(totals) - sum(held[s])) / max(sum(totals), 1)
-            if score > top:
-                best, top = s, score
-        out[b] = best
-        held[best] = [h + x for h, x in zip(held[best], counts[b], strict=True)]
+    for blocks in groups.values():
+        blocks.sort()
+        out[blocks.pop()[1]] = "train"
+        if blocks:
+            out[blocks[0][1]] = "test" if len(blocks) == 1 else "val"
+        rest = sorted(blocks[1:], key=lambda x: block_hash(x[1]))
+        total, before = sum(n for n, _ in rest), 0
+        for k, (n, b) in enumerate(rest):
+            at = (before + n / 2) / total
+            before += n
+            if k == 0 or shares["train"] <= at < shares["train"] + shares["test"]:
+                out[b] = "test"
+            else:
+                out[b] = "train" if at < shares["train"] else "val"
+    return out
+
+
+def select_plainly(counts, most):
+    rare = rarest(counts)
+    used, out = 0, set()
+    for b in sorted(counts, key=lambda b: (rare[b] is None, rare[b] and rare[b][0], -sum(counts[b][1:]), block_hash(b))):
+        if not out or used + sum(counts[b]) <= most:
+            out.add(b)
+            used += sum(counts[b])
     return out
 
 
@@ -61,7 +76,16 @@ def block_counts(seed=2, n=40):
 def test_grouped_split_follows_the_rule(spark):
     counts = block_counts()
     got = {r.block_id: r.split for r in dataset.grouped_split(counts_table(spark, counts)).collect()}
-    assert got == greedy(counts, dataset.FRACTIONS)
+    assert got == split_plainly(counts, dataset.FRACTIONS)
+
+
+def test_split_is_near_its_fractions_and_holds_every_class(spark):
+    counts = {f"b{b}": [1000] + [(b % 8 == i) * 50 for i in range(8)] for b in range(800)}
+    got = {r.block_id: r.split for r in dataset.grouped_split(counts_table(spark, counts)).collect()}
+    assert got == split_plainly(counts, dataset.FRACTIONS)
+    for i in range(8):
+        n = Counter(got[f"b{b}"] for b in range(i, 800, 8))
+        assert abs(n["train"] - 60) <= 3 and abs(n["val"] - 15) <= 3 and abs(n["test"] - 25) <= 3
 
 
 def test_rare_class_goes_to_train_then_test(spark):
@@ -81,6 +105,14 @@ def test_select_blocks_takes_rare_classes_first_and_whole_blocks(spark):
     assert {r.block_id for r in dataset.select_blocks(table, 10).collect()} == {"b"}
 
 
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.97])
+def test_select_blocks_equals_a_plain_walk(spark, share):
+    counts = block_counts(seed=3, n=60) | {f"plain{i}": [50 + 7 * i] + [0] * 8 for i in range(40)}
+    most = int(share * sum(map(sum, counts.values())))
+    table = counts_table(spark, counts)
+    assert {r.block_id for r in dataset.select_blocks(table, most).collect()} == select_plainly(counts, most)
+
+
 def frame_rows(spark, n=3000, hot=0.8):
     return spark.range(n).select(
         F.col("id").alias("frame_number"),

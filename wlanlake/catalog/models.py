@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wlanlake import spec
 from wlanlake.adapters import features, labelled_frames
+from wlanlake.catalog.common import FRAME_KEYS
 from wlanlake.operators import dataset
 from wlanlake.operators.rollups import model_rows_from_raw
 from wlanlake.plans import training
@@ -45,14 +46,45 @@ def parts(spark, sf_dir):
     return [by_split.filter(F.col("split") == s).drop("split") for s in dataset.SPLITS]
 
 
-@query("select_blocks")
+_BLOCKS = f"""{FRAME_KEYS}, c AS (SELECT block_id, label, count(*)::BIGINT AS n FROM f0 GROUP BY ALL),
+t AS (SELECT label, sum(n)::BIGINT AS total FROM c GROUP BY 1)"""
+
+
+@query(
+    "select_blocks",
+    f"""WITH RECURSIVE {_BLOCKS},
+p AS (SELECT block_id, sum(n) AS n, sum(n) FILTER (label > 0) AS attacks, min(total) FILTER (label > 0) AS rarity
+  FROM c JOIN t USING (label) GROUP BY 1),
+o AS (SELECT *, (SELECT sum(n) // 2 FROM c) AS budget, row_number() OVER (
+  ORDER BY rarity NULLS LAST, coalesce(attacks, 0) DESC, substr(md5('0:' || block_id), 1, 15), block_id) AS k FROM p),
+walk AS (SELECT k, block_id, n AS used, TRUE AS taken FROM o WHERE k = 1 UNION ALL
+  SELECT o.k, o.block_id, CASE WHEN used + o.n <= budget THEN used + o.n ELSE used END, used + o.n <= budget
+  FROM walk JOIN o ON o.k = walk.k + 1)
+SELECT block_id FROM walk WHERE taken""",
+)
 def _select(spark, sf_dir):
     counts = block_counts(spark, sf_dir)
     total = sum(dataset._totals(counts))
     return dataset.select_blocks(counts, total // 2)
 
 
-@query("grouped_split")
+@query(
+    "grouped_split",
+    f"""WITH {_BLOCKS},
+b AS (SELECT block_id, coalesce(arg_min(label, total * 16 + label) FILTER (label > 0), 0) AS g
+  FROM c JOIN t USING (label) GROUP BY 1),
+r AS (SELECT block_id, g, coalesce(n, 0) AS n FROM b LEFT JOIN c USING (block_id) WHERE label = g),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, block_id DESC) AS place,
+  count(*) OVER (PARTITION BY g) AS blocks FROM r),
+rest AS (SELECT *, row_number() OVER w AS k,
+  (sum(n) OVER w - n / 2)::DOUBLE / sum(n) OVER (PARTITION BY g)::DOUBLE AS middle
+  FROM o WHERE place > 1 AND place < blocks
+  WINDOW w AS (PARTITION BY g ORDER BY substr(md5('0:' || block_id), 1, 15), block_id))
+SELECT block_id, CASE WHEN place = 1 THEN 'train' WHEN blocks = 2 THEN 'test' ELSE 'val' END AS split
+FROM o WHERE place = 1 OR place = blocks
+UNION ALL SELECT block_id,
+  CASE WHEN k = 1 OR middle >= 0.6 AND middle < 0.85 THEN 'test' WHEN middle < 0.6 THEN 'train' ELSE 'val' END FROM rest""",
+)
 def _split(spark, sf_dir):
     return dataset.grouped_split(block_counts(spark, sf_dir))
 

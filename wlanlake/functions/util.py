@@ -23,11 +23,6 @@ def lookup(table: dict, key) -> Column:
     return F.try_element_at(entries, col_of(key))
 
 
-def bucket_of_hash(h: Column, buckets: int) -> Column:
-    """Order-preserving bucket of a 64-bit hash: equal slices of its range."""
-    return F.shiftright(h, 64 - buckets.bit_length() + 1).cast("long")
-
-
 def keyed_hash(seed: int, *cols) -> Column:
     """A repeatable pseudo-random 64-bit number per row."""
     return F.xxhash64(F.lit(seed), *[col_of(c) for c in cols])

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +14,10 @@ from wlanlake.functions.util import col_of, keyed_hash, strip
 from wlanlake.functions.verdicts import absent_mask, standardise
 from wlanlake.operators.layout import exact_quantiles, rank_by_hash
 from wlanlake.operators.windows import windows_with_attack
+from wlanlake.session import store
 
 SPLITS = ["train", "val", "test"]
 FRACTIONS = {"train": 0.60, "val": 0.15, "test": 0.25}
-# A class too rare for every split goes to train first, then test, then val.
-COVERAGE_PRIORITY = {"train": 3.0, "val": 1.0, "test": 2.0}
 CLASS_IDS = list(range(len(spec.CLASSES)))
 
 
@@ -74,94 +72,115 @@ def split_report(df: DataFrame, assignment: DataFrame, label: str = "label") ->
 # ---- blocks: selection and split ----------------------------------------------------
 
 
-def _ordered_blocks(counts: DataFrame, totals: list[int], seed: int) -> DataFrame:
-    """Block counts in one partition, rarest class first, then most attack rows.
-
-    This is a summary with one small row per block of frames, and both walks below read it
-    once from front to back with a state of fixed size.
-    """
-    attacks = range(1, len(totals))
-    rarity = F.least(
-        F.lit(None).cast("long"),
-        *[F.when(F.col(f"c{i}") > 0, F.lit(int(totals[i]))) for i in attacks],
-    )
-    n_attacks = sum((F.col(f"c{i}") for i in attacks), F.lit(0))
-    order = [F.asc_nulls_last("_rarity"), F.desc("_attacks"), F.asc("_jitter"), F.asc("block_id")]
-    return (
-        counts.withColumn("_rarity", rarity)
-        .withColumn("_attacks", n_attacks)
-        .withColumn("_jitter", keyed_hash(seed, "block_id"))
-        .repartition(1)
-        .sortWithinPartitions(*order)
-        .select("block_id", *[f"c{i}" for i in CLASS_IDS])
-    )
-
-
 def _totals(counts: DataFrame) -> list[int]:
     """Rows per class: one row of nine numbers."""
     row = counts.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in CLASS_IDS]).first()
     return [int(x) for x in row]
 
 
+def _rarest(totals: list[int]) -> Column:
+    """(rows, id) of the attack class of a block that is rarest over all blocks; NULL without an attack."""
+    return F.least(
+        *[
+            F.when(F.col(f"c{i}") > 0, F.struct(F.lit(totals[i]).alias("rows"), F.lit(i).alias("id")))
+            for i in CLASS_IDS[1:]
+        ]
+    )
+
+
+def _block_hash(seed: int) -> Column:
+    """A repeatable number over the whole range of a long, in the order of md5 in any engine."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "block_id").cast("binary")), 1, 15)
+    return (F.conv(digits, 16, 10).cast("long") - F.lit(1 << 59)) * F.lit(16).cast("long")
+
+
 def select_blocks(counts: DataFrame, max_rows: int | None, seed: int = 0) -> DataFrame:
     """Whole blocks under a row budget, those with the rarest classes first.
 
-    The first block is always taken; one that does not fit any more is passed over.
+    The first block is always taken; one that does not fit any more is passed over. Blocks are sorted by
+    range and stored. Each round takes the longest run of blocks, among those small enough for the room
+    that is left, whose running total fits; what a round takes is a stretch of places and a size bound,
+    so rounds hand on three numbers and no blocks. There are few rounds unless blocks almost as large
+    as the budget alternate with very small ones.
     """
     totals = _totals(counts)
     if max_rows is None or sum(totals) <= max_rows:
         return counts.select("block_id")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used = 0
-        for batch in batches:
-            taken = []
-            sizes = batch[[f"c{i}" for i in CLASS_IDS]].sum(axis=1)
-            for block, size in zip(batch["block_id"], sizes, strict=True):
-                if used >= max_rows or (used and used + size > max_rows):
-                    continue
-                used += int(size)
-                taken.append(block)
-            yield pd.DataFrame({"block_id": taken}, dtype=object)
-
-    return _ordered_blocks(counts, totals, seed).mapInPandas(walk, "block_id string")
+    sizes = [F.col(f"c{i}") for i in CLASS_IDS]
+    order = [F.asc_nulls_last("_rarity"), F.desc("_attacks"), F.asc("_jitter"), F.asc("block_id")]
+    placed = store(
+        counts.select(
+            "block_id",
+            reduce(add, sizes).alias("_rows"),
+            reduce(add, sizes[1:]).alias("_attacks"),
+            _rarest(totals)["rows"].alias("_rarity"),
+            _block_hash(seed).alias("_jitter"),
+        )
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("block_id", "_rows", F.monotonically_increasing_id().alias("_at")),
+        "select_blocks",
+    )
+    first = placed.agg(F.min("_at").alias("at"), F.min_by("_rows", "_at").alias("n")).first()
+    taken, after, room = F.col("_at") == first["at"], first["at"], max_rows - first["n"]
+    part = F.shiftright("_at", 33).alias("_part")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_part").orderBy("_at")
+    while room > 0:
+        fits = (F.col("_at") > after) & (F.col("_rows") <= room)
+        left = placed.filter(fits).select("*", part)
+        # One row per partition.
+        bases = left.groupBy("_part").agg(F.sum("_rows").alias("_n")).select(
+            "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base")
+        )
+        total = F.col("_base") + F.sum("_rows").over(inside)
+        summed = left.join(bases, "_part").withColumn("_total", total)
+        stop, used = summed.agg(
+            F.min(F.when(F.col("_total") > room, F.col("_at"))),
+            F.coalesce(F.sum(F.when(F.col("_total") <= room, F.col("_rows"))), F.lit(0)),
+        ).first()
+        if stop is None:
+            return placed.filter(taken | fits).select("block_id")
+        taken |= fits & (F.col("_at") < stop)
+        after, room = stop, room - used
+    return placed.filter(taken).select("block_id")
 
 
 def grouped_split(counts: DataFrame, fractions: dict | None = None, seed: int = 0) -> DataFrame:
-    """Assign whole blocks to train, val and test, balancing rows per class.
+    """Assign whole blocks to train, val and test, with every class in as many splits as it has blocks for.
 
-    Blocks come rarest class first; each goes where it fills most of what is missing,
-    counted in shares of its classes so that rare ones dominate. Bringing a class to a
-    split that has none of it weighs far more, and overall balance breaks ties.
+    Blocks are grouped by the rarest class they hold and measured by their rows of that class. The
+    largest block of a group goes to train; of two, the other goes to test. Of three or more, the smallest
+    goes to val, and the others follow in random order: the first to test, and each further one to the
+    split that the middle of its rows falls into, when the rows of all these are laid end to end and cut
+    at the fractions of train, test and val.
     """
     shares = fractions or FRACTIONS
-    totals = np.array(_totals(counts), dtype=float)
-    weight = 1.0 / np.maximum(totals, 1.0)
-    all_rows = max(totals.sum(), 1.0)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = {s: np.zeros(len(totals)) for s in SPLITS}
-
-        def gain(split: str, block: np.ndarray) -> float:
-            have = held[split]
-            missing = np.maximum(totals * shares[split] - have, 0.0)
-            filled = (weight * np.minimum(block, missing)).sum()
-            fresh = (block > 0) & (have <= 0)
-            covered = (weight[fresh] * block[fresh]).sum()
-            balance = (shares[split] * totals.sum() - have.sum()) / all_rows
-            return filled + 10.0 * COVERAGE_PRIORITY[split] * covered + 1e-6 * balance
-
-        for batch in batches:
-            chosen = []
-            for block in batch[[f"c{i}" for i in CLASS_IDS]].to_numpy(dtype=float):
-                best = max(SPLITS, key=lambda s: gain(s, block))  # noqa: B023
-                held[best] += block
-                chosen.append(best)
-            yield pd.DataFrame({"block_id": batch["block_id"], "split": chosen})
-
-    return _ordered_blocks(counts, totals.astype(int).tolist(), seed).mapInPandas(
-        walk, "block_id string, split string"
+    group = F.coalesce(_rarest(_totals(counts))["id"], F.lit(0))
+    blocks = counts.select(
+        "block_id",
+        group.alias("_group"),
+        F.get(F.array(*[F.col(f"c{i}") for i in CLASS_IDS]), group).alias("_rows"),
+        _block_hash(seed).alias("_hash"),
+    )
+    size = F.struct("_rows", "block_id")
+    # One row per class.
+    ends = blocks.groupBy("_group").agg(
+        F.max(size).alias("_most"), F.min(size).alias("_least"), F.count(F.lit(1)).alias("_blocks")
+    )
+    known = F.when(F.col("block_id") == F.col("_most.block_id"), "train").when(
+        F.col("block_id") == F.col("_least.block_id"), F.when(F.col("_blocks") == 2, "test").otherwise("val")
+    )
+    placed = blocks.join(F.broadcast(ends), "_group").withColumn("split", known)
+    rest = rank_by_hash(placed.filter("split IS NULL"), "_hash", "block_id", by=["_group"], weight="_rows")
+    middle = (F.col("before") + F.col("_rows") / 2) / F.greatest(F.col("total"), F.lit(1))
+    cut = (
+        F.when((F.col("rk") == 0) | ((middle >= shares["train"]) & (middle < shares["train"] + shares["test"])), "test")
+        .when(middle < shares["train"], "train")
+        .otherwise("val")
     )
+    ended = placed.filter("split IS NOT NULL").select("block_id", "split")
+    return ended.unionByName(rest.select("block_id", cut.alias("split")))
 
 
 # ---- normalisation and weights -------------------------------------------------------

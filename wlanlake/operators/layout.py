@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wlanlake.functions.util import bucket_of_hash, col_of
+from wlanlake.functions.util import col_of
 
 CHUNK = 8192
 TILE_ROWS = 131072
@@ -146,31 +146,44 @@ def with_position(
 
 
 def rank_by_hash(
-    df: DataFrame, hash_col: str, tie_col: str, by: list[str] | None = None, buckets: int = 4096
+    df: DataFrame,
+    hash_col: str,
+    tie_col: str,
+    by: list[str] | None = None,
+    buckets: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Add ``rk``: exact 0-based rank by hash within each group of ``by``, and ``n_group``.
 
     The hash range is cut into equal slices; ranks inside a slice come from a window over
-    that slice only, and the slices' offsets from their counts. A group of any size is
-    spread over all slices.
+    that slice only, and the slices' offsets from their counts. A group has as many slices
+    as the root of its rows, so slices and rows per slice grow alike, unless ``buckets``
+    says how many. With ``weight``, its sum over the rows of smaller rank and over the
+    whole group come along as ``before`` and ``total``.
     """
     by = by or []
-    sliced = df.withColumn("_slice", bucket_of_hash(F.col(hash_col), buckets))
-    counts = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    # At most `buckets` rows per group value.
-    upto = Window.partitionBy(*by).orderBy("_slice")
+    weighed = F.col(weight) if weight else F.lit(0)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_group"), F.sum(weighed).alias("total"))
+    slices = F.lit(buckets) if buckets else F.ceil(F.sqrt("n_group"))
+    unit = F.col(hash_col) / F.lit(2.0**64) + F.lit(0.5)
+    sized = df.join(sizes, by) if by else df.crossJoin(F.broadcast(sizes))
+    sliced = sized.withColumn("_slice", F.least(F.floor(unit * slices), slices - 1).cast("long"))
+    counts = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.sum(weighed).alias("_w"))
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *by,
         "_slice",
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_offset"),
-        F.sum("_n").over(Window.partitionBy(*by)).alias("n_group"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+        F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_below"),
     )
     within = Window.partitionBy(*by, "_slice").orderBy(hash_col, tie_col)
-    return (
-        sliced.join(offsets, [*by, "_slice"])
-        .withColumn("rk", F.col("_offset") + F.row_number().over(within) - 1)
-        .drop("_slice", "_offset")
-    )
+    ranked = sliced.join(offsets, [*by, "_slice"]).withColumn("rk", F.col("_offset") + F.row_number().over(within) - 1)
+    if weight:
+        upto = within.rowsBetween(Window.unboundedPreceding, -1)
+        ranked = ranked.withColumn("before", F.col("_below") + F.coalesce(F.sum(weighed).over(upto), F.lit(0)))
+    else:
+        ranked = ranked.drop("total")
+    return ranked.drop("_slice", "_offset", "_below")
 
 
 def value_slices(df: DataFrame, columns: list[str], coarse: int = 32) -> tuple[DataFrame, DataFrame]:

@@ -87,11 +87,12 @@ def write_packets(df: DataFrame, path: str) -> None:
     )
 
 
-def run_sql(spark: SparkSession, packets: DataFrame, sql: str, max_rows: int = 500) -> DataFrame:
-    """One SELECT over the view ``packets``; a statement without its own LIMIT gets one."""
+def run_sql(spark: SparkSession, packets: DataFrame, sql: str, max_rows: int | None = None) -> DataFrame:
+    """One SELECT over the view ``packets``; with ``max_rows``, a statement without its own LIMIT gets that one."""
     statement = sql.strip().rstrip(";")
     if not re.match(r"(?is)^\s*(select|with)\b", statement):
         raise ValueError("only SELECT statements are allowed")
     packets.createOrReplaceTempView("packets")
     rows = spark.sql(statement)
-    return rows if re.search(r"(?is)\blimit\s+\d+\s*$", statement) else rows.limit(max_rows)
+    own = re.search(r"(?is)\blimit\s+(all|\d+)(\s+offset\s+\d+)?\s*$", statement)
+    return rows if max_rows is None or own else rows.limit(max_rows)
