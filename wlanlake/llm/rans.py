@@ -224,8 +224,8 @@ def write_tokens(
     end_id: int = 2,
     file_tokens: int = 4_000_000,
     block_tokens: int = 1 << 18,
-    lanes: int = 256,
-    stride: int = 256,
+    lanes: int = 1024,
+    stride: int = 128,
 ) -> None:
     """Writes all documents, each with the end id, in ascending order of their ids.
 
