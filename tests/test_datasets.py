@@ -296,3 +296,17 @@ def test_training_learns_a_simple_rule_and_loses_it_on_shuffled_labels(spark):
     assert len(probs) == len(spec.CLASSES)
     check = {r.labels: r.macro_f1 for r in training.shuffled_label_check(train, test, ["signal", "noise"], trees=[5], depth=4).collect()}
     assert check["true labels"] > 0.99 and check["shuffled labels"] < 0.6
+
+
+def test_rank_correlation_with_a_constant_column(spark):
+    df = spark.createDataFrame([(1.0, 3.0, 7.0), (2.0, 2.0, 7.0), (3.0, 1.0, 7.0)], "x double, y double, k double")
+    got = {(r.a, r.b): r.rho for r in quality.spearman(df, ["x", "y", "k"]).collect()}
+    assert math.isclose(got["x", "y"], -1) and got["x", "x"] == 1
+    assert [got["x", "k"], got["k", "y"], got["k", "k"]] == [None] * 3
+
+
+def test_only_a_missing_path_counts_as_nothing(spark, tmp_path):
+    assert not shards._exists(spark, str(tmp_path / "none")) and not shards._exists(spark, str(tmp_path))
+    (tmp_path / "part.parquet").write_bytes(b"not a table")
+    with pytest.raises(Exception):
+        shards._exists(spark, str(tmp_path))

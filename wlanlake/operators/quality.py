@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wlanlake.operators.layout import average_ranks, exact_quantiles
@@ -106,19 +106,28 @@ def _rank_correlations(df: DataFrame, columns: list[str]) -> list[tuple[str, str
         )
         ranked = ranked.join(of_column, F.col(c) == F.col(f"_x_{c}"))
     pairs = list(combinations(columns, 2))
-    row = ranked.agg(*[F.corr(f"_rank_{a}", f"_rank_{b}").alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
+
+    def rho(a: str, b: str) -> Column:
+        x, y = f"_rank_{a}", f"_rank_{b}"
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    row = ranked.agg(*[rho(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
     return [(a, b, row[i]) for i, (a, b) in enumerate(pairs)]
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rank correlation of all the columns; a pair uses the rows in which both have a value."""
+    """Rank correlation of all the columns; a pair uses the rows in which both have a value.
+
+    It is NULL where a column does not vary over them.
+    """
+    varies = df.selectExpr(*[f"min({c}) < max({c}) as {c}" for c in columns]).first()
     counts = df.selectExpr(*[f"count_if({c} is null) as {c}" for c in columns]).first()
     full = [c for c in columns if counts[c] == 0]
     found = _rank_correlations(df, full) if len(full) > 1 else []
     for a, b in combinations(columns, 2):
         if a not in full or b not in full:
             found += _rank_correlations(df.select(a, b).dropna(), [a, b])
-    both_ways = found + [(b, a, r) for a, b, r in found] + [(c, c, 1.0) for c in columns]
+    both_ways = found + [(b, a, r) for a, b, r in found] + [(c, c, 1.0 if varies[c] else None) for c in columns]
     return df.sparkSession.createDataFrame(both_ways, "a string, b string, rho double")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +21,13 @@ FEATURE_SCHEMA = T.StructType(
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    """False for a path that is missing or has no files; any other fault is raised."""
     try:
         spark.read.parquet(path).schema  # noqa: B018
         return True
-    except Exception:
+    except AnalysisException as fault:
+        if fault.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return False
 
 
