@@ -335,6 +335,26 @@ def test_a_weak_text_follows_its_host_and_declaration(spark):
     assert (got[100], got[101], got[102]) == ("aa", "bb", "bb")
 
 
+def test_languages_come_from_the_table_and_other_texts_are_rejected(spark, documents):
+    strange = {
+        "pl": "Litwo, Ojczyzno moja! ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił",
+        "nl": "De regering heeft gisteren besloten dat de nieuwe wet aan het einde van het jaar zal worden ingevoerd",
+        "zh": "政府昨天决定新法律将于年底实施但是很多人不同意这个决定因为他们认为这不公平",
+        "ru": "Правительство вчера решило что новый закон будет введен в конце года но многие люди не согласны",
+        None: "qzx vkjw pqmz xxcv bnrq wplk zzqj fhgk vbnm qwrt plkj hgfd zxcv qmwn ebrv tcyx uzia opsk",
+    }
+    italian = "Il governo ha detto che la nuova legge sarà approvata entro la fine dell'anno, ma molti non sono d'accordo"
+    rows = [(-k - 1, text, lang, "elsewhere", 0) for k, (lang, text) in enumerate(strange.items())]
+    rows += [(-k - 100, f"{italian} {k}", "it-IT", "here", 0) for k in range(20)]
+    df = documents.select(*DOCS.names).unionByName(spark.createDataFrame(rows, DOCS))
+    assert language.declared_languages(df) == ("de", "en", "es", "fr", "it")
+    got = {r["doc_id"]: r for r in language.identify_documents(df).filter("doc_id < 0").collect()}
+    assert [(got[-k - 1]["lang"], got[-k - 1]["kept"]) for k in range(len(strange))] == [("other", False)] * len(strange)
+    assert all(got[-k - 100]["lang"] == "it" and got[-k - 100]["kept"] for k in range(20))
+    undeclared = documents.withColumn("lang", F.lit(None).cast("string"))
+    assert language.identify_documents(undeclared).filter("kept or lang not in ('other', 'und')").count() == 0
+
+
 def test_warc_edges(spark, tmp_path):
     rows = [(3, "http://h/a?b#c", "<p>x</p>"), (1, None, "<p>x</p>"), (1, "http://h/\r\nWARC-Type: no", "<p>x</p>")]
     rows += [(None, "bad", None), (5, "http://h", ""), (6, "http://h/é", "WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n" * 3)]
