@@ -4,6 +4,7 @@ import collections
 import os
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -403,6 +404,26 @@ def test_licences(spark, docs, nothing):
     assert scan_licenses(docs).count() == len(ROWS) and scan_licenses(nothing).count() == 0
 
 
+def test_whole_licences_titles_spellings_and_given_texts(spark):
+    from wlanlake.llm import licenses
+
+    texts = {f.stem: f.read_text("utf-8") for f in Path(licenses.__file__).with_name("license_texts").glob("*.txt")}
+    mit = licenses.KNOWN[0][1].split("\n", 1)[1]
+    apache, bsd = texts["Apache-2.0"], texts["BSD-3-Clause"]
+    rows = [(name, text) for name, text in texts.items()]
+    rows += [("MIT", mit), ("MIT", f"The MIT License (MIT)\n\n{mit}"), ("MIT", mit.replace("NONINFRINGEMENT", "NON-INFRINGEMENT"))]
+    rows += [("MIT", mit.replace("sublicense", "sub-licence")), ("BSD-3-Clause", bsd.replace("HOLDER OR", "OWNER OR").replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* "))]
+    rows += [("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 Someone")), ("Apache-2.0", apache[: apache.index("   APPENDIX")])]
+    rows += [("Unlicense", texts["Unlicense"].replace("http:", "https:")), (None, apache + "x")]
+    df = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in scan_licenses(df).collect()}
+    assert [got[k] for k in range(len(rows))] == [name for name, _ in rows]
+    assert all(any(a in text.lower() for a in licenses.ANCHORS) for _, text in licenses.KNOWN)
+    known = licenses.known_digests(spark, spark.createDataFrame([("own", "All of this is free.")], "license string, text string"))
+    own = scan_licenses(spark.createDataFrame([(1, "prose\nall of THIS is free\n")], "doc_id long, text string"), known).first()
+    assert (own["license"], own["notices"]) == (None, "own")
+
+
 def test_pipeline_stages(spark, docs, nothing, documents, tmp_path):
     plain = [c for c in docs.columns if c not in CLASHING]
     for at, df in enumerate((docs, nothing, documents)):
