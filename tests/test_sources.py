@@ -86,6 +86,17 @@ def test_prepare_drops_before_it_derives(spark, root, tmp_path):
     assert again.rows == 4
 
 
+def test_the_first_good_row_decides_on_the_format(spark, root, tmp_path):
+    late = [f"{k},60,0,{k},n,x,Normal" for k in range(1, 50)] + ["50,60,True,50,n,x,Normal", "51,60,1,51,n,x,Normal"]
+    write_capture(root, "1.Deauth", 21, late)
+    write_capture(root, "1.Deauth", 22, ["1,60,True", "2,60,False,2,n,x,unheard", "3,60,1,3,n,x,Normal"])
+    target = str(tmp_path / "features")
+    summary = prepare_features(spark, str(root) + "/*/*.csv", target).first()
+    assert (summary.rejected_blocks, summary.odd_rows, summary.malformed) == (2, 1, 3)
+    blocks = {r.block_id: r["count"] for r in shards.read_features(spark, target).groupBy("block_id").count().collect()}
+    assert blocks["Deauth:0021"] == 51 and not {"SSDP:0003", "Deauth:0022"} & set(blocks)
+
+
 def test_inventory_shapes(spark, tmp_path):
     good = {"bssid": "a", "name": "one", "lat": "1.5", "lng": 2}
     entries = [good, {"bssid": "b", "name": "two", "lat": "north", "lng": 2}, {"name": "three", "lat": 1, "lng": 1}]

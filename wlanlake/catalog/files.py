@@ -109,7 +109,8 @@ _SUMMARY = ", ".join(
 )
 def _prepare(spark, sf_dir):
     source = capture_files(spark, sf_dir, malformed=True)
-    return prepare_features(spark, source, work_dir(spark, "features"), skip_sessions=["6.Krack"])
+    summary = prepare_features(spark, source, work_dir(spark, "features"), skip_sessions=["6.Krack"])
+    return summary.drop("odd_rows")
 
 
 def stored_features(spark, sf_dir) -> str:

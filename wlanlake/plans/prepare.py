@@ -9,7 +9,7 @@ from wlanlake import spec
 from wlanlake.functions.labels import label_id, normalise_label
 from wlanlake.operators.frames import finish_features, with_row_features
 from wlanlake.session import store
-from wlanlake.sources.capture import MALFORMED, has_word_booleans, read_capture_csv
+from wlanlake.sources.capture import MALFORMED, check_first_rows, has_word_booleans, read_capture_csv
 from wlanlake.sources.shards import existing_blocks, read_features, write_features
 
 
@@ -38,19 +38,21 @@ def prepare_features(
 
     The text files are read once; the parsed rows are stored, and every further step reads
     the few columns it needs of them. Blocks already in ``target`` are skipped. ``blocks``
-    restricts the job to a sample.
+    restricts the job to a sample. A block whose first good row spells booleans as words is
+    rejected; later rows that do are kept, and ``odd_rows`` is their count.
     """
     skipped = spec.SKIP_FOLDERS if skip_sessions is None else skip_sessions
-    scan = read_capture_csv(spark, source, skip_sessions=skipped, malformed=True)
+    scan = read_capture_csv(spark, source, skip_sessions=skipped, malformed=True, place=True)
     if blocks is not None:
         scan = scan.join(blocks.select("block_id"), "block_id", "left_semi")
     fresh = scan.join(existing_blocks(spark, target), "block_id", "left_anti")
     parsed = store(parse_capture(fresh), "parsed")
 
     good = parsed.filter(~F.col(MALFORMED))
-    rejected = good.filter("_words").select("block_id").distinct()
+    formats = store(check_first_rows(good, "_words"), "formats")
+    rejected = formats.filter("rejected").select("block_id")
     # Everything to be dropped goes before the deltas, which look at the previous row.
-    usable = good.filter("label is not null").join(rejected, "block_id", "left_anti")
+    usable = good.drop("_split", "_line").filter("label is not null").join(rejected, "block_id", "left_anti")
     write_features(finish_features(usable), target)
 
     n = F.count(F.lit(1))
@@ -66,4 +68,8 @@ def prepare_features(
         F.count_if(MALFORMED).alias("malformed"),
         F.count_if(~F.col(MALFORMED) & F.col("label").isNull()).alias("unknown_label_rows"),
     )
-    return counts.crossJoin(dropped).crossJoin(rejected.agg(n.alias("rejected_blocks")))
+    refused = formats.agg(
+        F.count_if("rejected").alias("rejected_blocks"),
+        F.coalesce(F.sum(F.expr("if(rejected, 0, odd_rows)")), F.lit(0)).alias("odd_rows"),
+    )
+    return counts.crossJoin(dropped).crossJoin(refused)

@@ -60,13 +60,14 @@ def _is_malformed() -> Column:
 
 
 def read_capture_csv(
-    spark: SparkSession, path, *, skip_sessions: list[str] | None = None, malformed: bool = False
+    spark: SparkSession, path, *, skip_sessions: list[str] | None = None, malformed: bool = False, place: bool = False
 ) -> DataFrame:
     """Capture rows as text cells under flat names, with session, block and frame number.
 
     Only the columns the features consume are parsed; one the file lacks becomes NULL.
     With ``malformed`` the scan also carries the flag ``_malformed``, for which every column
-    has to be parsed.
+    has to be parsed. With ``place`` it carries ``_split`` and ``_line``, by which the rows of a
+    file have their order.
     """
     header = _header(spark, path)
     if "Label" not in header:
@@ -100,7 +101,7 @@ def read_capture_csv(
         out = out.filter(~F.col("session_id").isin([s.split(".", 1)[-1] for s in skip_sessions]))
     if "frame.number" not in header:
         out = _number_by_place(out)
-    return out.drop("_split", "_line")
+    return out if place else out.drop("_split", "_line")
 
 
 def _number_by_place(df: DataFrame) -> DataFrame:
@@ -142,10 +143,24 @@ def has_word_booleans() -> Column:
 
 
 def check_export_format(df: DataFrame) -> DataFrame:
-    """Blocks and whether they have to be rejected for their export format."""
+    """Blocks and whether any of their rows spells its booleans as words."""
     return df.groupBy("session_id", "block_id").agg(F.max(has_word_booleans()).alias("rejected"))
 
 
+def check_first_rows(df: DataFrame, words: str) -> DataFrame:
+    """Blocks, whether their first row has the flag ``words``, and how many rows have it.
+
+    The first row tells the export format of a file. ``df`` has the good rows of a scan made with
+    ``place=True``; splits are combined first, so only as many rows are compared by their path.
+    """
+    splits = df.groupBy("block_id", "_path", "_split").agg(
+        F.min("_line").alias("_first"), F.min_by(words, "_line").alias("_flag"), F.count_if(F.col(words)).alias("_n")
+    )
+    return splits.groupBy("block_id").agg(
+        F.min_by("_flag", F.struct("_path", "_split", "_first")).alias("rejected"), F.sum("_n").alias("odd_rows")
+    )
+
+
 def require_export_format(df: DataFrame) -> DataFrame:
     """The rows, or an error naming blocks of the wrong export format."""
     bad = [r.block_id for r in check_export_format(df).filter("rejected").limit(20).collect()]
