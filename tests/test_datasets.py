@@ -281,6 +281,12 @@ def test_contract_faults_are_all_told(spark):
         training.require_contract(swapped, columns)
 
 
+def test_without_validation_rows_one_size_has_to_be_given(spark):
+    rows = spark.createDataFrame([(0, 1.0), (1, 2.0)], "label int, signal float")
+    with pytest.raises(ValueError, match="no validation rows"):
+        training.train_multiclass(rows, None, ["signal"], trees=[5, 10])
+
+
 def test_training_learns_a_simple_rule_and_loses_it_on_shuffled_labels(spark):
     df = spark.range(1200).select(
         F.col("id").alias("frame_number"), F.lit("b").alias("block_id"),

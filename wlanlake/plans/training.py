@@ -76,12 +76,15 @@ def train_multiclass(
     """Forest over all classes with capped class weights.
 
     Grows through the given sizes and stops when the validation macro-F1 no longer rises.
+    Without validation rows there is nothing to choose by, so one size has to be given.
     """
+    if val is None and len(trees) != 1:
+        raise ValueError(f"no validation rows to choose from the sizes {list(trees)}; give one")
     columns = columns or spec.FLAT_MODEL_COLUMNS
     rows = assemble(_weighted(train, "label", alpha, cap), columns)
     rows = rows.withColumn("label", F.col("label").cast("double")).select("label", "weight", "features")
     best, best_score, history = None, -1.0, []
-    for n in trees if val is not None else list(trees)[:1]:
+    for n in trees:
         model = _forest(rows, "label", n, depth, seed)
         if val is None:
             return FrameModel(model, columns)
