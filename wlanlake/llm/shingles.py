@@ -29,14 +29,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
-def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[bytes], lower: bool = True, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts, and where each text's words begin (one more entry than texts).
 
-    A word is a run of bytes that are not white space (x20, x09 to x0D). Its hash comes from differences
-    of running polynomial sums over all bytes, to two bases, so there is no step for each word.
+    A word is a run of bytes that are not ``breaks``: white space (x20, x09 to x0D) unless others are given,
+    which must hold the line feed. Its hash comes from differences of running polynomial sums over all
+    bytes, to two bases, so there is no step for each word.
     """
     buffer = np.frombuffer(b"\n".join(texts), np.uint8)
-    inside = ~_SPACE[buffer]
+    inside = ~breaks[buffer]
     edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     letters = (_LOWER[buffer] if lower else buffer).astype(_U) + _U(1)
