@@ -55,7 +55,8 @@ def stream_of(df, order: str, name: str):
 def run_features(spark, sf_dir, score=None, frames=None) -> StreamPaths:
     frames = labelled_frames(spark, sf_dir) if frames is None else frames
     root = work_dir(spark, "stream")
-    start_feature_stream(stream_of(frames, "frame_number", "raw"), root, score=score).awaitTermination()
+    # The batch twin forgets nothing, and some streams are silent for days.
+    start_feature_stream(stream_of(frames, "frame_number", "raw"), root, score=score, keep_for=None).awaitTermination()
     return StreamPaths(root)
 
 
@@ -143,40 +144,47 @@ def _tail(spark, sf_dir):
     "stream_series",
     with_detections(
         "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H') AS hour, predicted_label, count(*) AS count FROM detections "
-        "WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM detections) GROUP BY ALL"
+        "GROUP BY ALL"
     ),
 )
 def _series(spark, sf_dir):
-    counts = D.hourly_counts(stream_of(detections(spark, sf_dir), "id", "detections"))
-    out = sink(counts, "hourly", "hour timestamp, predicted_label string, count bigint")
-    return out.select(F.date_format("hour", "yyyy-MM-dd'T'HH").alias("hour"), "predicted_label", "count")
+    counts = D.hourly_counts(work_dir(spark, "hourly"))
+    counts.start(stream_of(detections(spark, sf_dir), "id", "detections")).awaitTermination()
+    return counts.read(spark).select(F.date_format("start", "yyyy-MM-dd'T'HH").alias("hour"), "predicted_label", "count")
 
 
 @query(
     "stream_deauth_rate",
     with_frames(
         f"SELECT {stamp_sql('s')} AS start, bssid, count(*) AS frames FROM (SELECT bssid, unnest([date_trunc('hour', ts) "
-        "- to_hours(CAST(i AS INTEGER)) FOR i IN range(0, 6)]) AS s FROM ev) w "
-        "WHERE s + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM ev) GROUP BY ALL",
+        "- to_hours(CAST(i AS INTEGER)) FOR i IN range(0, 6)]) AS s FROM ev) w GROUP BY ALL",
         "ev AS (SELECT ts, printf('aa:aa:aa:aa:aa:%02x', 1 + user_id % 5) AS bssid FROM e WHERE event_type = 'signup')",
     ),
 )
 def _rate(spark, sf_dir):
-    frames = events(spark, sf_dir).selectExpr(
-        "event_id", "ts", f"{BSSID} as bssid", "if(event_type = 'signup', 1, 0) as has_reason"
-    )
+    frames = events(spark, sf_dir).filter("event_type = 'signup'").selectExpr("event_id", "ts", f"{BSSID} as bssid")
     # The events are minutes apart, so hours stand in for seconds.
-    rate = D.deauth_rate(stream_of(frames, "event_id", "frames"), "6 hours", "1 hour", "2 hours")
-    out = sink(rate, "rate", "start timestamp, end timestamp, bssid string, frames bigint")
-    return out.select(stamp("start").alias("start"), "bssid", "frames")
+    rate = D.deauth_rate(work_dir(spark, "rate"), 6 * 3600, 3600)
+    rate.start(stream_of(frames, "event_id", "frames")).awaitTermination()
+    return rate.read(spark).select(stamp("start").alias("start"), "bssid", F.col("count").alias("frames"))
 
 
-@query("stream_dedupe", with_detections("SELECT id, predicted_label FROM detections"))
+@query(
+    "stream_dedupe",
+    with_detections(
+        "SELECT id, predicted_label, 'kept' AS reason FROM detections UNION ALL "
+        "SELECT id, predicted_label, 'copy' FROM detections WHERE id % 3 = 0"
+    ),
+)
 def _dedupe(spark, sf_dir):
+    """The kept rows and those set aside: together all that came in."""
     rows = detections(spark, sf_dir)
     twice = rows.unionByName(rows.filter("id % 3 = 0"))
-    out = sink(D.dedupe_stream(stream_of(twice, "id", "twice"), "1 hour"), "deduped", rows.schema)
-    return out.select("id", "predicted_label")
+    root = work_dir(spark, "dedupe")
+    D.Deduplication(root, 3600).start(stream_of(twice, "id", "twice")).awaitTermination()
+    kept = spark.read.parquet(f"{root}/unique").withColumn("reason", F.lit("kept"))
+    aside = spark.read.parquet(f"{root}/set_aside")
+    return kept.unionByName(aside).select("id", "predicted_label", "reason")
 
 
 @query(

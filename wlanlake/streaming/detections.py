@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import threading
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from wlanlake.sources.packets import PACKET_SCHEMA
+from wlanlake.streaming.state import BucketTable
 
 
 def read_packet_stream(
@@ -41,35 +43,134 @@ def start_packet_sink(
     )
 
 
-def hourly_counts(rows: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Rows per class and hour; an hour is final once the watermark has passed it."""
-    return (
-        rows.withWatermark("ts", lateness)
-        .groupBy(F.window("ts", "1 hour").alias("w"), "predicted_label")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .select(F.col("w.start").alias("hour"), "predicted_label", "count")
-    )
+def _started(rows: DataFrame, work, root: str, available_now: bool, interval: str) -> StreamingQuery:
+    writer = rows.writeStream.foreachBatch(work).option("checkpointLocation", f"{root}/checkpoint")
+    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
+    return writer.trigger(**trigger).start()
 
 
-def deauth_rate(
-    frames: DataFrame, length: str = "10 seconds", step: str = "1 second", lateness: str = "10 seconds"
-) -> DataFrame:
-    """Frames with a reason code per BSSID in every sliding window.
+@dataclass
+class CountTable:
+    """Counts per time and key that every micro-batch adds to; no time is ever closed, so no row comes too late.
 
-    ``frames`` has ``ts``, ``bssid`` and ``has_reason``.
+    ``times`` gives the start of each time a row counts for (one, or several that overlap). A batch is
+    counted down to its times and keys first; only the buckets these fall into are rewritten. Times of one
+    ``stretch`` share ``spread`` buckets, so new rows leave the buckets of older times alone.
     """
-    return (
-        frames.filter("has_reason = 1")
-        .withWatermark("ts", lateness)
-        .groupBy(F.window("ts", length, step).alias("w"), "bssid")
-        .agg(F.count(F.lit(1)).alias("frames"))
-        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "bssid", "frames")
-    )
 
+    root: str
+    times: Column
+    key: str
+    key_type: str = "string"
+    stretch: str = "day"
+    spread: int = 4
+    buckets: int = 64
+
+    def _table(self, spark: SparkSession) -> BucketTable:
+        schema = f"start timestamp, {self.key} {self.key_type}, count bigint"
+        return BucketTable(spark, f"{self.root}/counts", schema, self.buckets)
+
+    def add(self, rows: DataFrame, batch: int) -> None:
+        table = self._table(rows.sparkSession)
+        bucket = table.bucket_of(F.date_trunc(self.stretch, "start"), F.pmod(F.xxhash64(self.key), F.lit(self.spread)))
+        new = (
+            rows.select(F.explode(self.times).alias("start"), self.key)
+            .groupBy("start", self.key)
+            .agg(F.count(F.lit(1)).alias("count"))
+            .withColumn("bucket", bucket)
+            .persist()
+        )
+        before = table.version(batch - 1)
+        touched = table.touched(new)
+        old = table.read(before, touched).withColumn("bucket", bucket)
+        merged = old.unionByName(new).groupBy("bucket", "start", self.key).agg(F.sum("count").alias("count"))
+        table.write(merged, batch, touched, before)
+        new.unpersist()
+
+    def start(self, rows: DataFrame, *, available_now: bool = True, interval: str = "10 seconds") -> StreamingQuery:
+        return _started(rows, self.add, self.root, available_now, interval)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """(start, key, count) over all that has arrived so far."""
+        table = self._table(spark)
+        return table.read(table.version(table.latest()))
+
+
+def hourly_counts(root: str, **options) -> CountTable:
+    """Rows per class and hour."""
+    return CountTable(root, F.array(F.date_trunc("hour", "ts")), "predicted_label", **options)
+
+
+def deauth_rate(root: str, length: int = 10, step: int = 1, **options) -> CountTable:
+    """Frames per BSSID in every window of ``length`` seconds that begins on a whole ``step``.
+
+    The stream has ``ts`` and ``bssid``; leave only frames with a reason code in it.
+    """
+    last = F.unix_seconds("ts") - F.pmod(F.unix_seconds("ts"), F.lit(step))
+    back = F.sequence(F.lit(0), F.lit(length - step), F.lit(step))
+    starts = F.transform(back, lambda s: F.timestamp_seconds(last - s))
+    return CountTable(root, F.filter(starts, lambda s: F.unix_micros("ts") < F.unix_micros(s) + length * 1_000_000), "bssid", stretch="hour", **options)
+
+
+@dataclass
+class Deduplication:
+    """The first copy of every id goes to ``unique``; all other rows to ``set_aside`` with a ``reason``.
+
+    An id is known until the stream's latest time is ``lateness`` seconds past the row that was kept. Rows
+    older than that when their batch begins are ``late``: whether they are copies can no longer be told.
+    Others are a ``copy`` of a kept row. Among the copies of one batch the one of the least time is kept.
+    Rows without an id are copies of nothing; rows without a time are never late. Every row goes to one
+    of the two tables.
+    """
 
-def dedupe_stream(rows: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """The first copy of every id; copies are known for as long as the watermark allows."""
-    return rows.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["id"])
+    root: str
+    lateness: float = 3600.0
+    buckets: int = 64
+
+    def _table(self, spark: SparkSession) -> BucketTable:
+        return BucketTable(spark, f"{self.root}/known", "id bigint, seen double", self.buckets, seen="seen")
+
+    def add(self, rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        table = self._table(spark)
+        before = table.version(batch - 1)
+        time = F.unix_micros("ts") / 1e6
+        bound = None if before.clock is None else before.clock - self.lateness
+        late = F.lit(False) if bound is None else F.coalesce(time < bound, F.lit(False))
+        staged = f"{self.root}/staged"
+        marked = rows.withColumns(
+            {"_late": late, "_time": time, "_mark": F.xxhash64(*rows.columns), "_row": F.monotonically_increasing_id()}
+        )
+        marked.write.mode("overwrite").parquet(staged)
+        marked = spark.read.schema(marked.schema).parquet(staged)
+        named = marked.filter("id is not null and not _late").withColumn("bucket", table.bucket_of("id"))
+        # Only the buckets' numbers and the latest time come to the driver.
+        touched = table.touched(named)
+        newest = marked.agg(F.max("_time")).first()[0]
+        clock = max((t for t in (before.clock, newest) if t is not None), default=None)
+
+        known = table.read(before, touched)
+        first = named.groupBy("bucket", "id").agg(F.min(F.struct("_time", "_mark", "_row")).alias("first"))
+        new = first.join(known.select("id"), "id", "left_anti")
+        kept = new.select(F.col("first._row").alias("_row"), F.lit(True).alias("_kept"))
+        reason = F.when(F.col("_late"), "late").when(F.col("id").isNotNull() & F.col("_kept").isNull(), "copy")
+        told = marked.join(kept, "_row", "left").withColumn("reason", reason)
+        unique = told.filter("reason is null").select(*rows.columns)
+        unique.write.mode("overwrite").parquet(f"{self.root}/unique/batch_id={batch}")
+        aside = told.filter("reason is not null").select(*rows.columns, "reason")
+        aside.write.mode("overwrite").parquet(f"{self.root}/set_aside/batch_id={batch}")
+
+        limit = None if clock is None else clock - self.lateness
+        rewritten = sorted({*touched, *before.due(limit)})
+        seen = F.coalesce("first._time", F.lit(clock).cast("double"))
+        both = table.read(before, rewritten).withColumn("bucket", table.bucket_of("id")).unionByName(
+            new.select("id", seen.alias("seen"), "bucket")
+        )
+        alive = both if limit is None else both.filter(F.coalesce(F.col("seen") >= limit, F.lit(True)))
+        table.write(alive, batch, rewritten, before, clock)
+
+    def start(self, rows: DataFrame, *, available_now: bool = True, interval: str = "10 seconds") -> StreamingQuery:
+        return _started(rows, self.add, self.root, available_now, interval)
 
 
 COUNTERS = "frame_counters"
