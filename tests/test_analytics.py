@@ -200,6 +200,13 @@ def test_merged_tape_prefers_the_stream(spark):
     assert rows(L.merge_tape(stream, poll, 5), "id", "src") == [("1", "s"), ("3", "p"), ("2", "s")]
 
 
+def test_rows_that_arrive_at_once_leave_one_answer(spark):
+    rows = [(1, 5, "a"), (1, 5, "b"), (1, 4, "z"), (2, None, "x"), (2, None, None)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "id int, arrival int, v string").coalesce(1)
+        assert {(r.id, r.v) for r in L.dedupe_latest(df).collect()} == {(1, "b"), (2, "x")}
+
+
 def test_dedupe_with_one_very_common_key(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 4000, 0).otherwise(F.col("id")).alias("id"), F.col("id").alias("arrival"))
     got = L.dedupe_latest(df)

@@ -215,7 +215,7 @@ def test_auc_with_ties(spark):
     score = np.round(rng.random(2000), 2)
     truth = (rng.random(2000) < score).astype(int)
     df = spark.createDataFrame([(int(t), float(s)) for t, s in zip(truth, score, strict=True)], "truth int, score double")
-    got = metrics.auc_report(df, "truth", "score", slices=16).first()
+    got = metrics.auc_report(df, "truth", "score").first()
     pos, neg = score[truth == 1], score[truth == 0]
     want = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
     assert got.roc_auc == pytest.approx(want)
@@ -226,6 +226,15 @@ def test_auc_with_ties(spark):
     assert got.average_precision == pytest.approx(ap)
 
 
+def test_piled_up_scores_are_dealt_out_evenly(spark):
+    x = "if(id % 100 = 0, id / 200000D, if(id % 2 = 0, 1e-6 * id / 200000D, 1 - 1e-6 * id / 200000D))"
+    df = spark.range(200_000).selectExpr("cast(id % 3 = 0 as int) as truth", f"{x} as score")
+    odd = spark.createDataFrame([(1, float("nan")), (0, None)], "truth int, score double")
+    slices = metrics.score_points(df.unionByName(odd), "truth", "score").groupBy("slice").count().collect()
+    assert len(slices) > 500 and max(r["count"] for r in slices) < 2000
+    assert metrics.auc_report(df.unionByName(odd), "truth", "score").first() == metrics.auc_report(df, "truth", "score").first()
+
+
 def test_best_threshold_is_the_first(spark):
     df = spark.createDataFrame([(1, 0.5), (1, 0.6), (0, 0.2)], "truth int, score double")
     best = metrics.best_threshold(metrics.threshold_sweep(df, "truth", "score")).first()
@@ -246,6 +255,29 @@ def test_outliers_count_absent_rows_in_the_denominator(spark):
     assert got.outlier_pct == pytest.approx(12.5)
 
 
+def test_nan_is_no_value(spark):
+    nan = float("nan")
+    rows = [(1.0, nan), (nan, 2.0), (3.0, 2.0)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    assert quality.iqr_outliers(df, ["x"]).first().outlier_pct == 0.0
+    got = {r.feature: r for r in quality.column_profile(df, ["x", "y"]).collect()}
+    assert (got["x"].rows, got["x"].nulls, got["x"].distinct, got["x"].mean, got["x"].max, got["x"].p50) == (3, 1, 2, 2.0, 3.0, 2.0)
+    assert {(r.feature, r.x, r.n) for r in quality.top_values(df, ["x", "y"]).collect()} == {("x", 1.0, 1), ("x", 3.0, 1), ("y", 2.0, 2)}
+    a, b, c = [1.0, 2.0, 3.0, 4.0, 5.0], [1.0, 2.0, nan, 4.0, 5.0], [5.0, 4.0, 3.0, 1.0, 2.0]
+    three = spark.createDataFrame(list(zip(a, b, c)), "a double, b double, c double")
+    alone = {(r.a, r.b): r.rho for r in quality.spearman(three, ["a", "c"]).collect()}
+    got = {(r.a, r.b): r.rho for r in quality.spearman(three, ["a", "b", "c"]).collect()}
+    assert got["a", "c"] == pytest.approx(alone["a", "c"]) and got["a", "b"] == pytest.approx(1.0)
+
+
+def test_large_whole_numbers_are_told_apart(spark):
+    df = spark.createDataFrame([(2**53,), (2**53 + 1,), (2**53 + 1,), (None,)], "i long")
+    assert quality.column_profile(df, ["i"]).first().distinct == 2
+    assert [r.n for r in quality.top_values(df, ["i"]).orderBy("rank").collect()] == [2, 1]
+    empty = quality.column_profile(df.filter("i is null"), ["i"]).first()
+    assert (empty.rows, empty.nulls, empty.distinct, empty["mean"], empty["std"], empty.p50) == (1, 1, 0, None, None, None)
+
+
 def test_coerce_mixed(spark):
     train = spark.createDataFrame([("0x10", "a"), ("2", "b"), ("3", "4"), ("4", "c"), ("5", "d")], "n string, t string")
     test = spark.createDataFrame([("x", "1")], "n string, t string")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wlanlake import spec
 from wlanlake.operators import frames, rollups, windows
-from wlanlake.operators.layout import exact_quantiles, rank_by_hash, with_position
+from wlanlake.operators.layout import rank_by_hash, with_position
+from wlanlake.operators.quantiles import exact_quantiles
 
 SMALL = {"chunk": 4, "rows": 80}
 
@@ -301,10 +302,30 @@ def test_rank_by_hash_is_a_permutation(spark):
 def test_exact_quantiles_with_a_hot_value(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([np.full(4000, 7.0), rng.normal(0, 100, 5000), rng.integers(0, 5, 1000).astype(float)])
-    df = spark.createDataFrame([(float(v), None if i % 3 else float(i)) for i, v in enumerate(x)], "x double, y double")
+    rows = [(float(v), None if i % 3 else float(i), float("nan") if i % 2 else -float(i), 2**53 + i % 2, None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "x double, y double, z double, w long, empty double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = {(r.feature, r.q): r.value for r in exact_quantiles(df, ["x", "y"], probs, coarse=8).collect()}
     y = np.array([i for i in range(len(x)) if i % 3 == 0], dtype=float)
-    for q in probs:
-        assert math.isclose(got[("x", q)], np.quantile(x, q), rel_tol=1e-12, abs_tol=1e-12)
-        assert math.isclose(got[("y", q)], np.quantile(y, q), rel_tol=1e-12)
+    z = np.array([-i for i in range(len(x)) if i % 2 == 0], dtype=float)
+    # Small bounds on what a bracket may hold make it narrow several times.
+    for most in (1_000_000, 2_000, 30, 1):
+        got = {(r.feature, r.q): r.value for r in exact_quantiles(df, ["x", "y", "z", "w", "empty"], probs, most=most).collect()}
+        for q in probs:
+            assert math.isclose(got[("x", q)], np.quantile(x, q), rel_tol=1e-12, abs_tol=1e-12), (most, q)
+            assert math.isclose(got[("y", q)], np.quantile(y, q), rel_tol=1e-12)
+            assert math.isclose(got[("z", q)], np.quantile(z, q), rel_tol=1e-12, abs_tol=1e-9)
+        assert len(got) == 4 * len(probs)
+
+
+def test_brackets_leave_little_to_shuffle(spark):
+    from wlanlake.operators import quantiles
+
+    df = spark.range(200_000).selectExpr("cast(xxhash64(id) as double) as x", "id as i")
+    seen = []
+    count = quantiles._count
+    try:
+        quantiles._count = lambda wide, brackets: (count(wide, brackets), seen.append(max(b.inside for b in brackets)))
+        got = {(r.feature, r.q): r.value for r in quantiles.exact_quantiles(df, ["x", "i"], [0.5], most=1000).collect()}
+    finally:
+        quantiles._count = count
+    assert seen[-1] <= 1000 and got[("i", 0.5)] == 99999.5

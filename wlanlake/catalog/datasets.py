@@ -75,7 +75,7 @@ _OUT = ["l_quantity", "l_extendedprice", "l_discount"]
 @query(
     "iqr_outliers",
     lambda spark, sf_dir: table(spark, sf_dir, "events").selectExpr(
-        "value", "if(event_id % 10 = 0, null, value * value) as squared", "double(user_id % 7) as spread", "1D as flat"
+        "value", "if(event_id % 10 = 0, double('NaN'), value * value) as squared", "double(user_id % 7) as spread", "1D as flat"
     ),
     "WITH x AS (SELECT value, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value * value END AS squared, "
     "(user_id % 7)::DOUBLE AS spread FROM events) "

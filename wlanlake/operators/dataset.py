@@ -12,7 +12,8 @@ from wlanlake import spec
 from wlanlake.functions.labels import label_name, normalise_label
 from wlanlake.functions.util import col_of, keyed_hash, strip
 from wlanlake.functions.verdicts import absent_mask, standardise
-from wlanlake.operators.layout import exact_quantiles, rank_by_hash
+from wlanlake.operators.layout import rank_by_hash
+from wlanlake.operators.quantiles import exact_quantiles
 from wlanlake.operators.windows import windows_with_attack
 from wlanlake.session import store
 
@@ -359,11 +360,21 @@ def category_table(frames: list[DataFrame], column: str, absent: str = "__NA__")
             F.count(F.lit(1)).alias("_n")
         )
         values = part if values is None else values.unionByName(part)
-    # The window runs over distinct categories, not over rows.
-    order = Window.orderBy("category")
-    return values.groupBy("category").agg(F.sum("_n").alias("rows")).withColumn(
-        "code", F.row_number().over(order) - 1
-    )
+    # Sorted by range; a code is the place in a partition behind all categories of the partitions before.
+    sorted_ = store(
+        values.groupBy("category")
+        .agg(F.sum("_n").alias("rows"))
+        .repartitionByRange("category")
+        .sortWithinPartitions("category")
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "categories",
+    ).withColumn("_part", F.shiftright("_at", 33))
+    # One row per partition.
+    sizes = sorted(map(tuple, sorted_.groupBy("_part").count().collect()))
+    before = [(part, sum(n for _, n in sizes[:k])) for k, (part, _) in enumerate(sizes)]
+    bases = df.sparkSession.createDataFrame(before, "_part bigint, _base bigint")
+    code = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return sorted_.join(F.broadcast(bases), "_part").select("category", "rows", code.cast("int").alias("code"))
 
 
 def align_categories(df: DataFrame, categories: DataFrame, column: str, absent: str = "__NA__") -> DataFrame:

@@ -186,6 +186,26 @@ def rank_by_hash(
     return ranked.drop("_slice", "_offset", "_below")
 
 
+def value_cuts(values: DataFrame, by: list[str], x: str = "x", coarse: int = 32) -> DataFrame:
+    """Approximate quantiles that cut the values of each group into at most coarse * coarse slices of about
+    as many rows: ``cuts``, and every ``coarse``-th of them as ``marks``."""
+    splits = coarse * coarse
+    grid = [i / splits for i in range(1, splits)]
+    cuts = values.groupBy(*by).agg(F.percentile_approx(x, F.array(*[F.lit(g) for g in grid]), splits * 5).alias("cuts"))
+    steps = F.sequence(F.lit(coarse), F.lit(splits - 1), F.lit(coarse))
+    return cuts.withColumn("marks", F.transform(steps, lambda i: F.get("cuts", i - 1)))
+
+
+def slice_of(x: str, coarse: int = 32) -> Column:
+    """The slice of a value between ``cuts``, found in two short steps instead of one long one."""
+
+    def below(array: Column) -> Column:
+        return F.aggregate(array, F.lit(0), lambda a, c: a + F.when(c < F.col(x), 1).otherwise(0))
+
+    step = below(F.col("marks")) * coarse
+    return step + below(F.slice("cuts", step + 1, F.lit(coarse)))
+
+
 def value_slices(df: DataFrame, columns: list[str], coarse: int = 32) -> tuple[DataFrame, DataFrame]:
     """Distinct values of columns, cut into slices of the value range.
 
@@ -200,29 +220,9 @@ def value_slices(df: DataFrame, columns: list[str], coarse: int = 32) -> tuple[D
         F.col("x").isNotNull() & ~F.isnan("x")
     )
     counts = long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
-    splits = coarse * coarse
-    grid = [i / splits for i in range(1, splits)]
-    cuts = long.groupBy("feature").agg(
-        F.percentile_approx("x", F.array(*[F.lit(g) for g in grid]), splits * 5).alias("cuts")
-    )
-    steps = F.sequence(F.lit(coarse), F.lit(splits - 1), F.lit(coarse))
-    cuts = cuts.withColumn("marks", F.transform(steps, lambda i: F.get("cuts", i - 1)))
-
-    def below(array: Column) -> Column:
-        return F.aggregate(array, F.lit(0), lambda a, c: a + F.when(c < F.col("x"), 1).otherwise(0))
-
-    # One row per feature, each of fixed length: small by construction. The slice of a value
-    # is found in two short steps instead of one long one.
-    values = (
-        counts.join(F.broadcast(cuts), "feature")
-        .withColumn("step", below(F.col("marks")) * coarse)
-        .select(
-            "feature",
-            "x",
-            "n",
-            (F.col("step") + below(F.slice("cuts", F.col("step") + 1, F.lit(coarse)))).alias("slice"),
-        )
-    )
+    # One row per feature, each of fixed length: small by construction.
+    cuts = F.broadcast(value_cuts(long, ["feature"], coarse=coarse))
+    values = counts.join(cuts, "feature").select("feature", "x", "n", slice_of("x", coarse).alias("slice"))
     order = Window.partitionBy("feature").orderBy("slice")
     slices = values.groupBy("feature", "slice").agg(F.sum("n").alias("n_slice")).select(
         "feature",
@@ -234,38 +234,6 @@ def value_slices(df: DataFrame, columns: list[str], coarse: int = 32) -> tuple[D
     return values, slices
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], coarse: int = 32
-) -> DataFrame:
-    """Exact quantiles with linear interpolation: rows ``(feature, q, value)``.
-
-    Only the slices that hold a wanted rank are sorted, each on its own. Columns without
-    any value have no rows in the result.
-    """
-    values, slices = value_slices(df, columns, coarse)
-    wanted = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q")
-    ranks = (
-        slices.select("*", wanted)
-        .withColumn("at", F.col("q") * (F.col("total") - 1))
-        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
-        .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n_slice")))
-    )
-    # At most two ranks per column and quantile.
-    hit = ranks.select("feature", "slice", "before").distinct()
-    inside = Window.partitionBy("feature", "slice").orderBy("x")
-    placed = (
-        values.join(F.broadcast(hit), ["feature", "slice"])
-        .withColumn("hi", F.col("before") + F.sum("n").over(inside))
-        .withColumn("lo", F.col("hi") - F.col("n"))
-    )
-    picked = placed.join(
-        F.broadcast(ranks.select("feature", "slice", "q", "at", "rank")), ["feature", "slice"]
-    ).filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    frac = F.max(F.col("at") - F.floor("at"))
-    lower, upper = F.min_by("x", "rank"), F.max_by("x", "rank")
-    return picked.groupBy("feature", "q").agg((lower + (upper - lower) * frac).alias("value"))
-
-
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rank of every distinct value, the mean rank among equals: rows ``(feature, x, rank)``."""
     values, slices = value_slices(df, columns)

@@ -104,14 +104,15 @@ def ledger_page(view: DataFrame, page: int, order: list[Column], rows: int = PAG
 
 
 def dedupe_latest(df: DataFrame, key: str = "id", arrival: str = "arrival") -> DataFrame:
-    """One row per key, the latest arrival; a missing arrival is earlier than any.
+    """One row per key, the latest arrival; a missing arrival is earlier than any. Of rows that arrived at
+    once the one of the greatest values counts, column by column, so the order of rows decides nothing.
 
     An aggregate rather than a window: copies of one row are combined before the shuffle,
     so a row with very many copies is no hot task.
     """
     rest = [c for c in df.columns if c != key]
-    latest = F.struct(F.col(arrival).isNotNull().alias("known"), F.col(arrival).alias("at"))
-    kept = df.groupBy(key).agg(F.max_by(F.struct(*rest), latest).alias("_row"))
+    latest = F.struct(F.col(arrival).isNotNull().alias("known"), F.col(arrival).alias("at"), F.struct(*rest).alias("row"))
+    kept = df.groupBy(key).agg(F.max(latest)["row"].alias("_row"))
     return kept.select(key, "_row.*").select(*df.columns)
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wlanlake import spec
 from wlanlake.functions.labels import label_name
+from wlanlake.operators.layout import slice_of, value_cuts
+from wlanlake.session import store
 
 CLASS_IDS = list(range(len(spec.CLASSES)))
 # 33 thresholds from 0.10 to 0.90 in equal steps.
@@ -119,20 +121,32 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.agg(best.alias("b")).select("b.threshold", "b.f1")
 
 
-def auc_report(df: DataFrame, truth: str, score: str, slices: int = 4096) -> DataFrame:
-    """Exact ROC-AUC and average precision of scores in [0, 1].
+def score_points(df: DataFrame, truth: str, score: str) -> DataFrame:
+    """Rows per distinct score: ``s``, ``pos``, ``neg`` and the ``slice`` of the score.
 
-    Rows are counted per distinct score; running counts come from slices of the score
-    range, so no task sorts all scores.
+    Slices hold about as many distinct scores each, wherever these pile up; a score of many rows is one
+    counted row.
     """
-    points = (
-        df.filter(F.col(score).isNotNull())
-        .groupBy(F.col(score).alias("s"))
-        .agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
-        .withColumn("slice", F.floor(F.col("s") * slices).cast("int"))
+    points = store(
+        df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+        .groupBy(F.col(score).cast("double").alias("s"))
+        .agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg")),
+        "scores",
     )
+    # One row of fixed length.
+    cuts = value_cuts(points, [], "s")
+    return points.crossJoin(F.broadcast(cuts)).select("s", "pos", "neg", slice_of("s").alias("slice"))
+
+
+def auc_report(df: DataFrame, truth: str, score: str) -> DataFrame:
+    """Exact ROC-AUC and average precision; rows without a score (NULL or NaN) are left out.
+
+    Rows are counted per distinct score; running counts come from slices of the distinct scores, so no
+    task sorts them all.
+    """
+    points = score_points(df, truth, score)
     sums = points.groupBy("slice").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    # At most slices + 1 rows.
+    # At most 1024 rows.
     down = Window.orderBy(F.desc("slice"))
     offsets = sums.select(
         "slice",

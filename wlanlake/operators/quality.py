@@ -7,7 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wlanlake.operators.layout import average_ranks, exact_quantiles
+from wlanlake.operators.layout import average_ranks
+from wlanlake.operators.quantiles import exact_quantiles, present_value
 from wlanlake.session import store
 
 
@@ -64,32 +65,25 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Percentage of rows outside 1.5 interquartile ranges; columns without spread are left out.
 
-    Rows without a value count in the denominator, as they are rows of the table.
+    Rows without a value (NULL or NaN) count in the denominator, as they are rows of the table.
     """
     q = exact_quantiles(df, columns, [0.25, 0.75])
-    fences = (
-        q.groupBy("feature")
-        .agg(F.min_by("value", "q").alias("q1"), F.max_by("value", "q").alias("q3"))
-        .withColumn("iqr", F.col("q3") - F.col("q1"))
-        .filter(F.col("iqr") != 0)
-        .select(
-            "feature",
-            (F.col("q1") - 1.5 * F.col("iqr")).alias("low"),
-            (F.col("q3") + 1.5 * F.col("iqr")).alias("high"),
-        )
-    )
-    values = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])
-        ).alias("p")
-    ).select("p.*")
-    out = F.coalesce((F.col("x") < F.col("low")) | (F.col("x") > F.col("high")), F.lit(False))
-    # One row per column of the schema.
-    return (
-        values.join(F.broadcast(fences), "feature")
-        .groupBy("feature")
-        .agg((100.0 * F.avg(out.cast("int"))).alias("outlier_pct"))
-    )
+    # Two numbers per column of the schema.
+    ends = {
+        r["feature"]: (r["q1"], r["q3"])
+        for r in q.groupBy("feature").agg(F.min_by("value", "q").alias("q1"), F.max_by("value", "q").alias("q3")).collect()
+    }
+    spread = [c for c in columns if c in ends and ends[c][0] != ends[c][1]]
+    if not spread:
+        return df.sparkSession.createDataFrame([], "feature string, outlier_pct double")
+
+    def outside(c: str) -> Column:
+        low, high = ends[c]
+        x, reach = present_value(df, c).cast("double"), 1.5 * (high - low)
+        return F.coalesce((x < low - reach) | (x > high + reach), F.lit(False)).cast("int")
+
+    wide = df.agg(*[(100.0 * F.avg(outside(c))).alias(f"outlier_pct__{c}") for c in spread])
+    return _long(wide, spread, ["outlier_pct"])
 
 
 def _rank_correlations(df: DataFrame, columns: list[str]) -> list[tuple[str, str, float]]:
@@ -116,10 +110,11 @@ def _rank_correlations(df: DataFrame, columns: list[str]) -> list[tuple[str, str
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rank correlation of all the columns; a pair uses the rows in which both have a value.
+    """Rank correlation of all the columns; a pair uses the rows in which both have a value, which NaN is not.
 
     It is NULL where a column does not vary over them.
     """
+    df = df.select(*[present_value(df, c).alias(c) for c in columns])
     varies = df.selectExpr(*[f"min({c}) < max({c}) as {c}" for c in columns]).first()
     counts = df.selectExpr(*[f"count_if({c} is null) as {c}" for c in columns]).first()
     full = [c for c in columns if counts[c] == 0]
@@ -132,41 +127,55 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns]
+    """Rows per distinct value; whole numbers (``i``) are told apart as such, others (``d``) as doubles."""
+    whole = {c for c in columns if dict(df.select(present_value(df, c).alias("x")).dtypes)["x"] == "bigint"}
+    pairs = [
+        F.struct(
+            F.lit(c).alias("feature"),
+            (present_value(df, c) if c in whole else F.lit(None).cast("bigint")).alias("i"),
+            (F.lit(None).cast("double") if c in whole else present_value(df, c)).alias("d"),
+        )
+        for c in columns
+    ]
     return (
         df.select(F.explode(F.array(*pairs)).alias("p"))
-        .groupBy("p.feature", "p.x")
+        .groupBy("p.feature", "p.i", "p.d")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per numeric column: rows, nulls, distinct, min, max, mean, std, quartiles."""
-    counts = _value_counts(df, columns)
-    n, x = F.col("n"), F.col("x")
-    has = x.isNotNull()
-    values = F.sum(F.when(has, n))
-    mean = F.sum(x * n) / values
-    basic = counts.groupBy("feature").agg(
-        F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(~has, n)), F.lit(0)).cast("long").alias("nulls"),
-        F.count("x").alias("distinct"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        mean.alias("mean"),
+    """Per numeric column: rows, nulls, distinct, min, max, mean, std, quartiles; NaN is no value.
+
+    All but the count of distinct values is aggregated on the spot. Deviations are taken around the mean
+    in a second pass, as a difference of large squares would lose digits.
+    """
+    x = {c: present_value(df, c).cast("double") for c in columns}
+    fields = ["rows", "nulls", "min", "max", "mean"]
+    basic = df.agg(
+        *[
+            e
+            for c in columns
+            for e in (
+                F.count(F.lit(1)).alias(f"rows__{c}"),
+                F.count_if(x[c].isNull()).alias(f"nulls__{c}"),
+                F.min(x[c]).alias(f"min__{c}"),
+                F.max(x[c]).alias(f"max__{c}"),
+                F.avg(x[c]).alias(f"mean__{c}"),
+            )
+        ]
     )
-    # Second pass around the mean: a difference of large squares would lose digits.
-    spread = (
-        counts.filter(has)
-        .join(F.broadcast(basic.select("feature", "mean")), "feature")
-        .groupBy("feature")
-        .agg(
-            F.when(
-                F.sum("n") > 1,
-                F.sqrt(F.sum(n * (x - F.col("mean")) * (x - F.col("mean"))) / (F.sum("n") - 1)),
-            ).alias("std")
-        )
+    # One row: a few numbers per column of the schema.
+    mean = basic.first()
+    around = {c: x[c] - F.lit(mean[f"mean__{c}"]).cast("double") for c in columns}
+    spread = df.agg(
+        *[
+            F.when(F.count(x[c]) > 1, F.sqrt(F.sum(around[c] * around[c]) / (F.count(x[c]) - 1))).alias(f"std__{c}")
+            for c in columns
+        ]
     )
+    has = F.coalesce(F.col("i").cast("double"), "d").isNotNull()
+    distinct = _value_counts(df, columns).groupBy("feature").agg(F.count_if(has).alias("distinct"))
     q = (
         exact_quantiles(df, columns, [0.25, 0.5, 0.75])
         .groupBy("feature")
@@ -174,15 +183,22 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         .agg(F.first("value"))
         .toDF("feature", "p25", "p50", "p75")
     )
-    return basic.join(spread, "feature", "left").join(q, "feature", "left")
+    profile = _long(basic, columns, fields).join(_long(spread, columns, ["std"]), "feature")
+    profile = profile.join(distinct, "feature", "left").join(q, "feature", "left")
+    return profile.select(
+        "feature", "rows", "nulls", F.coalesce("distinct", F.lit(0)).cast("long").alias("distinct"),
+        "min", "max", "mean", "std", "p25", "p50", "p75",
+    )
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """The commonest values of each column; each task keeps only its own k before the shuffle."""
-    order = Window.partitionBy("feature").orderBy(F.desc("n"), F.asc("x"))
+    order = Window.partitionBy("feature").orderBy(F.desc("n"), F.asc("i"), F.asc("d"))
     return (
         _value_counts(df, columns)
+        .withColumn("x", F.coalesce(F.col("i").cast("double"), "d"))
         .filter("x is not null")
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
+        .select("feature", "x", "n", "rank")
     )
