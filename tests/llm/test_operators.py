@@ -447,3 +447,33 @@ def test_pipeline_stages(spark, docs, nothing, documents, tmp_path):
                     assert {r["doc_id"] for r in now.collect()} == want
         if df is nothing:
             assert now.count() == 0
+
+
+def test_a_large_group_whose_hub_is_far_from_most_is_joined_in_rounds(spark, monkeypatch):
+    """Near copies of one text, each with some words of its own, and texts that only share half of it."""
+    from wlanlake.llm import parity_join
+
+    rng = np.random.default_rng(8)
+    base = [f"b{k}" for k in range(120)]
+    cases = []
+    for k in range(600):
+        words = list(base)
+        for at in rng.integers(120, size=2):
+            words[at] = f"x{rng.integers(10**9)}"
+        cases.append((k, " ".join(words)))
+    for k in range(200):
+        cases.append((1000 + k, " ".join(base[:60] + [f"y{rng.integers(10**9)}" for _ in range(60)])))
+    offers = []
+    offered = parity_join._verify
+
+    def counted(pairs, *rest):
+        got = offered(pairs, *rest)
+        offers.append(got.count())
+        return got
+
+    monkeypatch.setattr(parity_join, "_verify", counted)
+    df = spark.createDataFrame(cases, "doc_id long, text string")
+    got = near_duplicates(df, small_group=2, block=128).select("doc_id", "n_shingles", "component_id").collect()
+    assert collections.Counter(map(tuple, got)) == brute_components(cases)
+    # Far fewer pairs than the 180,000 of the group are compared.
+    assert sum(offers) < 20 * len(cases)
