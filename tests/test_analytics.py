@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,31 @@ def test_to_packets_takes_the_first_value_and_rounds_half_even(spark):
     r = S.to_packets(df).first()
     assert (r.channel_freq, r.wlan_type, r.wlan_subtype, r.signal_dbm, r.src_mac) == (2412, None, 3, -41.0, "s")
     assert (r.proba_anomaly, r.proba_attack, r.predicted_label, r.wlan_retry) == (0.5, 0.9, "Krack", None)
+
+
+def test_pages_by_key_equal_pages_by_offset(spark):
+    rng = np.random.default_rng(11)
+    rows = [
+        (str(i), datetime(2024, 1, 1) + timedelta(seconds=int(rng.integers(5))) if i % 9 else None,
+         None if i % 4 == 0 else float(rng.integers(3)) / 4, int(rng.integers(3)) if i % 5 else None)
+        for i in range(60)
+    ]
+    view = spark.createDataFrame(rows, "id string, ts timestamp, confidence double, channel int")
+    for column, down in (("confidence", True), ("channel", False), ("time", True)):
+        want = [r["id"] for r in view.orderBy(*L.ledger_order(column, down)).collect()]
+        got, last = [], None
+        while page := L.ledger_after(view, last, column, down, rows=7).collect():
+            got += [r["id"] for r in page]
+            last = page[-1]
+        assert got == want
+    plan = L.ledger_after(view, last, "channel", False, rows=7)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=7" in plan and "Offset" not in plan
+    ids = view.select(F.col("id").cast("int").alias("id"))
+    assert [r["id"] for r in L.detections_before(ids, 10, 3).collect()] == [9, 8, 7]
+
+
+def test_groups_tell_what_is_left_out(spark):
+    df = spark.createDataFrame([(f"m{i % 30}",) for i in range(100)] + [(None,)] * 5, "src_mac string")
+    rows = A.aggregate_by(df, "src_mac", 20).collect()
+    assert len(rows) == 20 and {(r.total, r.groups, r.truncated) for r in rows} == {(105, 31, True)}
+    assert {r.truncated for r in A.aggregate_by(df, "src_mac", 31).collect()} == {False}

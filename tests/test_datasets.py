@@ -75,8 +75,11 @@ def block_counts(seed=2, n=40):
 
 def test_grouped_split_follows_the_rule(spark):
     counts = block_counts()
-    got = {r.block_id: r.split for r in dataset.grouped_split(counts_table(spark, counts)).collect()}
+    got = {r.block_id: r.split for r in dataset.split_by_rarest(counts_table(spark, counts)).collect()}
     assert got == split_plainly(counts, dataset.FRACTIONS)
+    # One block moves, as it closes a gap of a class that is nowhere the rarest.
+    final = {r.block_id: r.split for r in dataset.grouped_split(counts_table(spark, counts)).collect()}
+    assert sum(final[b] != got[b] for b in got) == 1
 
 
 def test_split_is_near_its_fractions_and_holds_every_class(spark):
@@ -95,6 +98,21 @@ def test_rare_class_goes_to_train_then_test(spark):
     assert got["r1"] == "train" and got["r2"] == "test"
 
 
+def test_no_class_of_three_blocks_misses_a_split(spark):
+    """Classes that are nowhere the rarest: the first placement leaves them out of a split."""
+    first = {"X": [0, 10, 50] + [0] * 6, "Y": [0, 0, 70] + [0] * 6, "Z": [0, 0, 60] + [0] * 6}
+    chained = {f"b{i}": [100] + [20 + i if j in (i % 8, (i + 1) % 8) else 0 for j in range(8)] for i in range(9)}
+    rng = np.random.default_rng(3)
+    mixed = {f"m{i}": [int(n) for n in rng.integers(0, 40, 9) * (rng.random(9) < 0.25)] for i in range(14)}
+    for counts in (first, chained, mixed):
+        table = counts_table(spark, counts)
+        split = dataset.grouped_split(table)
+        assert {r.block_id for r in split.collect()} == set(counts)
+        for r in dataset.split_coverage(table, split).collect():
+            assert r.splits == min(3, r.blocks), (r, counts)
+    assert dataset._closing_moves(counts_table(spark, first), dataset.split_by_rarest(counts_table(spark, first)))
+
+
 def test_select_blocks_takes_rare_classes_first_and_whole_blocks(spark):
     counts = {"a": [500] + [0] * 8, "b": [100, 5] + [0] * 7, "c": [100, 0, 50] + [0] * 6, "d": [300, 0, 40] + [0] * 6}
     table = counts_table(spark, counts)

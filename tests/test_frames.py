@@ -329,3 +329,30 @@ def test_brackets_leave_little_to_shuffle(spark):
     finally:
         quantiles._count = count
     assert seen[-1] <= 1000 and got[("i", 0.5)] == 99999.5
+
+
+def test_small_blocks_take_one_exchange(spark, tmp_path):
+    """No block is large: neither features nor positions shuffle the rows more than once, and nothing is joined."""
+    rows = [{"block_id": f"b{i % 5}", "frame_number": i, "wlan.seq": str(i), "frame.len": "60"} for i in range(300)]
+    path = str(tmp_path / "raw")
+    raw_table(spark, rows).write.parquet(path)
+    raw = spark.read.parquet(path)
+    plans = {
+        "features": frames.derive_frame_features(raw),
+        "model rows": rollups.model_rows_from_raw(raw),
+        "positions": with_position(raw.select("block_id", "frame_number")),
+    }
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, df in plans.items():
+            assert df.count() == 300
+            df.write.format("noop").mode("overwrite").save()
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, (name, plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    got = {(r.block_id, r.frame_number): (r.rn, r.n_rows) for r in plans["positions"].collect()}
+    assert got == {(f"b{i % 5}", i): (i // 5, 60) for i in range(300)}
+    tiled = with_position(raw.select("block_id", "frame_number"), chunk=4, rows=16)
+    assert {(r.block_id, r.frame_number): (r.rn, r.n_rows) for r in tiled.collect()} == got

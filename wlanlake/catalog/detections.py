@@ -23,6 +23,7 @@ from wlanlake.operators import analytics as A
 from wlanlake.operators import filters as P
 from wlanlake.operators import ledger as L
 from wlanlake.operators import locate, maintenance
+from wlanlake.operators.layout import with_place
 from wlanlake.sources import packets as S
 
 QUERIES = {}
@@ -226,7 +227,8 @@ for _dim, _col in A.GROUP_COLUMNS.items():
     query(
         f"aggregate_by_{_dim}",
         with_detections(
-            f"SELECT CAST({_col} AS VARCHAR) AS key, count(*) AS count FROM detections GROUP BY {_col} "
+            f"SELECT CAST({_col} AS VARCHAR) AS key, count(*) AS count, sum(count(*)) OVER ()::BIGINT AS total, "
+            f"count(*) OVER () AS groups, count(*) OVER () > 20 AS truncated FROM detections GROUP BY {_col} "
             "ORDER BY count DESC, key ASC NULLS LAST LIMIT 20"
         ),
     )(lambda df, d=_dim: A.aggregate_by(df, d, 20))
@@ -556,10 +558,15 @@ def _view(df):
 
 @query(
     "ledger_sort",
-    with_detections(f"SELECT CAST(id AS VARCHAR) AS id, CAST({_CHANNEL} AS INTEGER) AS channel FROM detections"),
+    with_detections(
+        f"SELECT CAST(id AS VARCHAR) AS id, CAST({_CHANNEL} AS INTEGER) AS channel, "
+        f"row_number() OVER (ORDER BY CAST({_CHANNEL} AS INTEGER) ASC NULLS LAST, ts DESC NULLS LAST, detections.id) AS place "
+        "FROM detections"
+    ),
 )
 def _ledger_sort(df):
-    return L.detection_view(df).orderBy(*L.ledger_order("channel", descending=False)).select("id", "channel")
+    order = L.ledger_order("channel", descending=False)
+    return with_place(L.detection_view(df), *order).select("id", "channel", "place")
 
 
 @query(
@@ -573,6 +580,21 @@ def _page(df):
     return L.ledger_page(L.detection_view(df), 4, L.ledger_order("confidence")).select("id", "confidence")
 
 
+@query(
+    "ledger_after",
+    with_detections(
+        f"SELECT CAST(id AS VARCHAR) AS id, CAST({_CHANNEL} AS INTEGER) AS channel FROM detections "
+        f"ORDER BY CAST({_CHANNEL} AS INTEGER) ASC NULLS LAST, ts DESC NULLS LAST, detections.id LIMIT 25 OFFSET 75"
+    ),
+)
+def _after(df):
+    """The fourth page, from the last row of each page before it."""
+    view, last = L.detection_view(df), None
+    for _ in range(3):
+        last = L.ledger_after(view, last, "channel", descending=False).collect()[-1]
+    return L.ledger_after(view, last, "channel", descending=False).select("id", "channel")
+
+
 @query(
     "merge_tape",
     with_detections(

@@ -204,15 +204,16 @@ query(
 
 @query(
     "format_guard",
-    f"{_F0} SELECT block_id, bool_or(label = 7 AND event_id % 50 = 0) AS rejected FROM f0 GROUP BY 1",
+    f"{_F0} SELECT block_id, arg_min(label = 7 AND event_id % 5 = 0, event_id) AS rejected, "
+    "count(*) FILTER (label = 7 AND event_id % 5 = 0) AS odd_rows FROM f0 GROUP BY 1",
     source=labelled_frames,
 )
 def _format(df):
     # Some beacon rows get the newer spelling of booleans.
     odd = df.withColumn(
-        "wlan_fc_retry", F.expr("if(label = 7 and frame_number % 50 = 0, 'True', wlan_fc_retry)")
+        "wlan_fc_retry", F.expr("if(label = 7 and frame_number % 5 = 0, 'True', wlan_fc_retry)")
     )
-    return capture.check_export_format(odd).select("block_id", "rejected")
+    return capture.check_export_format(odd).select("block_id", "rejected", "odd_rows")
 
 
 query(

@@ -89,6 +89,16 @@ def _split(spark, sf_dir):
     return dataset.grouped_split(block_counts(spark, sf_dir))
 
 
+@query(
+    "split_coverage",
+    f"WITH {_BLOCKS} SELECT label, count(DISTINCT block_id) AS blocks, least(3, count(DISTINCT block_id)) AS splits "
+    "FROM c WHERE n > 0 GROUP BY label",
+)
+def _coverage(spark, sf_dir):
+    counts = store(block_counts(spark, sf_dir), "block_counts")
+    return dataset.split_coverage(counts, dataset.grouped_split(counts))
+
+
 @query("train_multiclass")
 def _multiclass(spark, sf_dir):
     train, val, test = parts(spark, sf_dir)

@@ -91,11 +91,16 @@ GROUP_COLUMNS = {
 
 
 def aggregate_by(df: DataFrame, dimension: str, top_n: int = 20) -> DataFrame:
-    """Counts by one dimension, largest first; absent values form a group of their own."""
+    """Counts by one dimension, largest first; absent values form a group of their own.
+
+    Each row also tells the rows and groups there are in all, and whether groups were left out.
+    """
     key = F.col(GROUP_COLUMNS[dimension]).cast("string").alias("key")
-    return (
-        df.groupBy(key).agg(_count()).orderBy(F.desc("count"), F.asc_nulls_last("key")).limit(top_n)
-    )
+    groups = df.groupBy(key).agg(_count())
+    # One row.
+    whole = groups.agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("groups"))
+    first = groups.orderBy(F.desc("count"), F.asc_nulls_last("key")).limit(top_n)
+    return first.crossJoin(F.broadcast(whole)).withColumn("truncated", F.col("groups") > top_n)
 
 
 def classes_without_detections(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from wlanlake import spec
 from wlanlake.functions.labels import label_name, normalise_label
 from wlanlake.functions.util import col_of, keyed_hash, strip
 from wlanlake.functions.verdicts import absent_mask, standardise
-from wlanlake.operators.layout import rank_by_hash
+from wlanlake.operators.layout import rank_by_hash, with_place
 from wlanlake.operators.quantiles import exact_quantiles
 from wlanlake.operators.windows import windows_with_attack
 from wlanlake.session import store
@@ -150,6 +150,92 @@ def select_blocks(counts: DataFrame, max_rows: int | None, seed: int = 0) -> Dat
 def grouped_split(counts: DataFrame, fractions: dict | None = None, seed: int = 0) -> DataFrame:
     """Assign whole blocks to train, val and test, with every class in as many splits as it has blocks for.
 
+    Blocks are placed by their rarest class first (``split_by_rarest``). That leaves out what only other
+    classes need; so the blocks of each class are counted per split, and while a class of three blocks (two)
+    is in fewer than three splits (two), one of its smallest blocks moves to a split it misses, or two
+    blocks move at once. Only moves that leave fewer such gaps over all classes are made. The counts (27
+    numbers) and the smallest blocks of each class and split are all that the driver sees.
+    """
+    placed = store(split_by_rarest(counts, fractions, seed), "split")
+    moves = _closing_moves(counts, placed)
+    if not moves:
+        return placed
+    moved = F.broadcast(counts.sparkSession.createDataFrame(moves, "block_id string, _to string"))
+    return placed.join(moved, "block_id", "left").select("block_id", F.coalesce("_to", "split").alias("split"))
+
+
+def split_coverage(counts: DataFrame, assignment: DataFrame) -> DataFrame:
+    """Per class that has rows: label, its blocks, and how many splits these are in."""
+    held = F.filter(
+        F.array(*[F.struct(F.lit(i).alias("label"), F.col(f"c{i}").alias("n")) for i in CLASS_IDS]), lambda c: c["n"] > 0
+    )
+    rows = counts.join(assignment, "block_id").select("split", F.explode(held["label"]).alias("label"))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("split").alias("splits"))
+
+
+def _gaps(cover: list[dict]) -> int:
+    """How many splits classes miss that they have blocks for."""
+    return sum(min(len(SPLITS), sum(c.values())) - sum(n > 0 for n in c.values()) for c in cover)
+
+
+def _closing_moves(counts: DataFrame, placed: DataFrame, each: int = 8) -> list[tuple[str, str]]:
+    """(block, split) of the blocks that change their split so that no class misses one it has blocks for."""
+    rows = counts.join(placed, "block_id")
+    row = rows.agg(
+        *[F.count_if((F.col(f"c{i}") > 0) & (F.col("split") == s)).alias(f"{i}{s}") for i in CLASS_IDS for s in SPLITS]
+    ).first()
+    cover = [{s: row[f"{i}{s}"] for s in SPLITS} for i in CLASS_IDS]
+    if not _gaps(cover):
+        return []
+    held = F.filter(F.array(*[F.when(F.col(f"c{i}") > 0, F.lit(i)) for i in CLASS_IDS]), lambda i: i.isNotNull())
+    least = Window.partitionBy("class", "split").orderBy("rows", "block_id")
+    small = (
+        rows.select("block_id", "split", reduce(add, [F.col(f"c{i}") for i in CLASS_IDS]).alias("rows"), held.alias("classes"))
+        .withColumn("class", F.explode("classes"))
+        .withColumn("nth", F.row_number().over(least))
+        .filter(F.col("nth") <= each)
+        .select("block_id", "split", "rows", "classes")
+        .distinct()
+    )
+    # At most 9 x 3 x each rows.
+    blocks = {r["block_id"]: r for r in small.collect()}
+    at = {b: r["split"] for b, r in blocks.items()}
+
+    def moved(now: list[dict], block: str, to: str) -> list[dict]:
+        then = [dict(c) for c in now]
+        for i in blocks[block]["classes"]:
+            then[i][at[block]] -= 1
+            then[i][to] += 1
+        return then
+
+    def options(now: list[dict], but: str | None = None) -> list[tuple]:
+        """(gaps after, rows moved, block, to), best first."""
+        return sorted(
+            (_gaps(moved(now, b, s)), blocks[b]["rows"], b, s) for b in blocks if b != but for s in SPLITS if s != at[b]
+        )
+
+    changed: dict[str, str] = {}
+    while _gaps(cover):
+        ways = options(cover)
+        steps = [ways[0][2:]] if ways and ways[0][0] < _gaps(cover) else []
+        if not steps:
+            # No single block helps: one that opens no gap elsewhere may make room for a second.
+            for gaps, _, block, to in ways:
+                second = options(moved(cover, block, to), block)
+                if gaps <= _gaps(cover) + 1 and second and second[0][0] < _gaps(cover):
+                    steps = [(block, to), second[0][2:]]
+                    break
+        if not steps:
+            break
+        for block, to in steps:
+            cover = moved(cover, block, to)
+            at[block] = changed[block] = to
+    return sorted(changed.items())
+
+
+def split_by_rarest(counts: DataFrame, fractions: dict | None = None, seed: int = 0) -> DataFrame:
+    """Assign whole blocks to train, val and test by the rarest class that each holds.
+
     Blocks are grouped by the rarest class they hold and measured by their rows of that class. The
     largest block of a group goes to train; of two, the other goes to test. Of three or more, the smallest
     goes to val, and the others follow in random order: the first to test, and each further one to the
@@ -360,21 +446,8 @@ def category_table(frames: list[DataFrame], column: str, absent: str = "__NA__")
             F.count(F.lit(1)).alias("_n")
         )
         values = part if values is None else values.unionByName(part)
-    # Sorted by range; a code is the place in a partition behind all categories of the partitions before.
-    sorted_ = store(
-        values.groupBy("category")
-        .agg(F.sum("_n").alias("rows"))
-        .repartitionByRange("category")
-        .sortWithinPartitions("category")
-        .withColumn("_at", F.monotonically_increasing_id()),
-        "categories",
-    ).withColumn("_part", F.shiftright("_at", 33))
-    # One row per partition.
-    sizes = sorted(map(tuple, sorted_.groupBy("_part").count().collect()))
-    before = [(part, sum(n for _, n in sizes[:k])) for k, (part, _) in enumerate(sizes)]
-    bases = df.sparkSession.createDataFrame(before, "_part bigint, _base bigint")
-    code = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return sorted_.join(F.broadcast(bases), "_part").select("category", "rows", code.cast("int").alias("code"))
+    rows = values.groupBy("category").agg(F.sum("_n").alias("rows"))
+    return with_place(rows, F.col("category"), name="code").withColumn("code", (F.col("code") - 1).cast("int"))
 
 
 def align_categories(df: DataFrame, categories: DataFrame, column: str, absent: str = "__NA__") -> DataFrame:

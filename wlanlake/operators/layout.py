@@ -10,8 +10,9 @@ one block with a bounded number of rows. Three things make tiles exact:
 * values carried over from any distance ("last seen sequence number") are found on the
   chunk table too, and handed to each tile as its starting value.
 
-Blocks that fit in one tile need none of it: they have no entry in the tile map, and
-when the map is empty the adaptive planner drops the join.
+Blocks that fit in one tile need none of it: blocks are counted first, which reads no
+column but the block, and where none is large the rows are left as they are. Their window
+is then the only exchange.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wlanlake.functions.util import col_of
+from wlanlake.session import store
 
 CHUNK = 8192
 TILE_ROWS = 131072
@@ -42,18 +44,30 @@ def tile_rows(
     chunk: int = CHUNK,
     rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """Add ``_tile``, ``_own``, ``_base`` and ``_carry_*`` to every row.
+    """Add ``_tile``, ``_own``, ``_base``, ``_total`` and ``_carry_*`` to every row.
 
     ``_tile`` numbers the tiles of a block. A row is copied (``_own`` false) into the
     next tile when a frame of ``lookback`` rows may need it there, and into the previous
     one for ``lookahead``. ``_base`` is the position in the block of the tile's first
-    row, copies included. ``_carry_x`` is the last non-null ``carry["x"]`` before that
-    first row. The order column must be a non-negative whole number, unique in its block.
+    row, copies included, ``_total`` the rows of a block of several tiles (NULL for others).
+    ``_carry_x`` is the last non-null ``carry["x"]`` before that first row. The order column must be a non-negative whole number, unique in its block.
     """
     halo = max(lookback, lookahead)
     if rows < chunk + halo:
         raise ValueError("a tile must hold at least one chunk and its halo")
     carry = carry or {}
+    large = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
+    if not large.head(1):
+        types = dict(df.select(*[value.alias(name) for name, value in carry.items()]).dtypes)
+        return df.withColumns(
+            {
+                "_tile": F.lit(0).cast("long"),
+                "_own": F.lit(True),
+                "_base": F.lit(0).cast("long"),
+                "_total": F.lit(None).cast("long"),
+            }
+            | {carried(name): F.lit(None).cast(t) for name, t in types.items()}
+        )
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / chunk).cast("long"))
 
     counts = chunked.groupBy(group, "_chunk").agg(
@@ -109,6 +123,7 @@ def tile_rows(
         "_tile",
         (F.col("_tile") == F.col("_home")).alias("_own"),
         F.min("_start").over(first).alias("_base"),
+        "_total",
         *[F.first(carried(n)).over(from_first).alias(carried(n)) for n in carry],
     )
     return (
@@ -126,7 +141,7 @@ def tile_window(group: str = "block_id", order: str = "frame_number"):
 
 
 def drop_layout(df: DataFrame) -> DataFrame:
-    extra = [c for c in df.columns if c in ("_tile", "_own", "_base") or c.startswith("_carry_")]
+    extra = [c for c in df.columns if c in ("_tile", "_own", "_base", "_total") or c.startswith("_carry_")]
     return df.drop(*extra)
 
 
@@ -138,11 +153,31 @@ def own_rows(df: DataFrame) -> DataFrame:
 def with_position(
     df: DataFrame, group: str = "block_id", order: str = "frame_number", **tiling
 ) -> DataFrame:
-    """Add ``rn`` (0-based position in the block) and ``n_rows`` (block length)."""
+    """Add ``rn`` (0-based position in the block) and ``n_rows`` (block length).
+
+    The length of a block of several tiles comes with its tiles, that of others is the length of their
+    one tile; so both need no exchange but the tiles' own.
+    """
     laid = tile_rows(df, group, order, **tiling)
     rn = F.col("_base") + F.row_number().over(tile_window(group, order)) - 1
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
-    return own_rows(laid.withColumn("rn", rn.cast("long"))).join(sizes, group)
+    length = F.coalesce("_total", F.count(F.lit(1)).over(Window.partitionBy(group, "_tile")))
+    return own_rows(laid.withColumns({"rn": rn.cast("long"), "n_rows": length}))
+
+
+def with_place(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """Add the place of each row (from 1) in the whole order, by a range sort.
+
+    Only the row counts of the partitions meet, on the driver. Ties take any order.
+    """
+    rows = store(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "places"
+    ).withColumn("_part", F.shiftright("_at", 33))
+    # One row per partition.
+    sizes = sorted(map(tuple, rows.groupBy("_part").count().collect()))
+    before = [(part, sum(n for _, n in sizes[:k])) for k, (part, _) in enumerate(sizes)]
+    bases = df.sparkSession.createDataFrame(before, "_part bigint, _base bigint")
+    place = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(bases), "_part").withColumn(name, place).drop("_part", "_at", "_base")
 
 
 def rank_by_hash(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from wlanlake.functions import radio
@@ -20,6 +20,11 @@ def list_detections(df: DataFrame, limit: int = 5000, offset: int = 0) -> DataFr
     return df.orderBy(F.desc("id")).offset(offset).limit(limit)
 
 
+def detections_before(df: DataFrame, id: int | None = None, limit: int = 5000) -> DataFrame:
+    """The next page of the newest-first list behind the row ``id``; no rows are read only to be passed over."""
+    return (df if id is None else df.filter(F.col("id") < id)).orderBy(F.desc("id")).limit(limit)
+
+
 def rows_after(df: DataFrame, last_id: int, *, sim_only: bool = False, limit: int = 500) -> DataFrame:
     """The next rows after an id. The limit counts rows before the simulated ones are picked."""
     rows = df.filter(F.col("id") > last_id).orderBy("id").limit(limit)
@@ -88,9 +93,39 @@ LEDGER_SORTS = {"time": "ts", "confidence": "confidence", "channel": "channel",
 
 def ledger_order(column: str = "time", descending: bool = True) -> list[Column]:
     """Absent values last in both directions, ties newest first, then by id."""
-    key = LEDGER_SORTS[column]
-    first = F.desc_nulls_last(key) if descending else F.asc_nulls_last(key)
-    return [first, F.desc_nulls_last("ts"), F.asc(F.col("id").cast("long"))]
+    return [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in _ledger_keys(column, descending)]
+
+
+def _ledger_keys(column: str, descending: bool) -> list[tuple[Column, bool]]:
+    """The sort columns, and whether each falls."""
+    return [(F.col(LEDGER_SORTS[column]), descending), (F.col("ts"), True), (F.col("id").cast("long"), False)]
+
+
+def _behind(keys: list[tuple[Column, bool]], last: list) -> Column:
+    """Rows that come after the one with the sort values ``last``, absent values last."""
+    behind, same = F.lit(False), F.lit(True)
+    for (key, down), value in zip(keys, last):
+        if value is None:
+            further, equal = F.lit(False), key.isNull()
+        else:
+            further = key.isNull() | (key < F.lit(value) if down else key > F.lit(value))
+            equal = key.isNotNull() & (key == F.lit(value))
+        behind, same = behind | (same & further), same & equal
+    return behind
+
+
+def ledger_after(
+    view: DataFrame, last: Row | None, column: str = "time", descending: bool = True, rows: int = PAGE_ROWS
+) -> DataFrame:
+    """The page of a sorted view behind the row ``last``, which ended the page before; the first page without it.
+
+    A comparison with the row's sort values stands in for an offset, so every page costs what the first
+    one does: a task keeps as many rows as the page has. Ids tell all rows apart.
+    """
+    if last is not None:
+        values = [last[LEDGER_SORTS[column]], last["ts"], None if last["id"] is None else int(last["id"])]
+        view = view.filter(_behind(_ledger_keys(column, descending), values))
+    return view.orderBy(*ledger_order(column, descending)).limit(rows)
 
 
 def ledger_page(view: DataFrame, page: int, order: list[Column], rows: int = PAGE_ROWS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wlanlake import spec
+from wlanlake.session import store
 
 CORRUPT = "_corrupt_record"
 MALFORMED = "_malformed"
@@ -142,9 +143,16 @@ def has_word_booleans() -> Column:
     return F.greatest(*words)
 
 
-def check_export_format(df: DataFrame) -> DataFrame:
-    """Blocks and whether any of their rows spells its booleans as words."""
-    return df.groupBy("session_id", "block_id").agg(F.max(has_word_booleans()).alias("rejected"))
+def check_export_format(df: DataFrame, order: str = "frame_number") -> DataFrame:
+    """Blocks, whether their first row spells its booleans as words, and how many rows do.
+
+    The first row tells the export format of a block, as in ``check_first_rows``; rows without a number
+    come last.
+    """
+    first = F.struct(F.col(order).isNull(), F.col(order))
+    return df.groupBy("session_id", "block_id").agg(
+        F.min_by(has_word_booleans(), first).alias("rejected"), F.count_if(has_word_booleans()).alias("odd_rows")
+    )
 
 
 def check_first_rows(df: DataFrame, words: str) -> DataFrame:
@@ -162,10 +170,12 @@ def check_first_rows(df: DataFrame, words: str) -> DataFrame:
 
 
 def require_export_format(df: DataFrame) -> DataFrame:
-    """The rows, or an error naming blocks of the wrong export format."""
-    bad = [r.block_id for r in check_export_format(df).filter("rejected").limit(20).collect()]
-    if bad:
-        raise ValueError(f"booleans are True/False instead of 1/0 in {bad}; export again")
+    """The rows, or an error that tells how many blocks have the wrong export format and names the first 20."""
+    bad = store(check_export_format(df).filter("rejected").select("block_id"), "rejected")
+    n = bad.count()
+    if n:
+        names = ", ".join(r["block_id"] for r in bad.orderBy("block_id").limit(20).collect())
+        raise ValueError(f"booleans are True/False instead of 1/0 in {n} blocks ({names}); export again")
     return df
 
 
