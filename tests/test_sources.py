@@ -5,7 +5,7 @@ import json
 import pytest
 
 from wlanlake import spec
-from wlanlake.plans.prepare import prepare_features
+from wlanlake.plans.prepare import prepare_features, read_report
 from wlanlake.sources import capture, inventory, shards
 
 HEADER = ["frame.number", "frame.len", "wlan.fc.retry", "wlan.seq", "wlan.ssid", "unused", "Label"]
@@ -83,7 +83,43 @@ def test_prepare_drops_before_it_derives(spark, root, tmp_path):
     assert got[("Deauth:0000", 5)].wlan_seq_delta == 3
     assert got[("Deauth:0012", 8)].wlan_seq_delta is None
     again = prepare_features(spark, str(root) + "/*/*.csv", target).first()
-    assert again.rows == 4
+    assert (again.rows, again.blocks, again.n_deauth) == (0, 0, 0)
+    assert shards.read_features(spark, target).count() == 4
+
+
+def test_report_tells_files_and_spellings(spark, root, tmp_path):
+    target = str(tmp_path / "features")
+    prepare_features(spark, str(root) + "/*/*.csv", target)
+    files = {r.block_id: r for r in read_report(spark, target).collect()}
+    assert (files["Deauth:0000"].rows, files["Deauth:0000"].malformed, files["Deauth:0012"].unknown_label_rows) == (5, 2, 1)
+    assert [b for b, r in files.items() if r.rejected] == ["SSDP:0003"] and files["SSDP:0003"].odd_rows == 2
+    tally = {(r.spelling, r.label): r.rows for r in read_report(spark, target, "labels").collect()}
+    assert tally[("deauth", 1)] == 1 and tally[("Botnet", None)] == 1 and tally[("SDDP", spec.CLASSES.index("SSDP"))] == 1
+
+
+def test_folders_do_not_grow_with_blocks_and_repeated_writes_add_nothing(spark, tmp_path):
+    from wlanlake.operators.frames import derive_frame_features
+
+    def rows(blocks, length):
+        raw = spark.range(40).selectExpr(
+            f"concat('b', id % {blocks}) as block_id", "'s' as session_id", "id as frame_number", f"string({length}) as frame_len",
+            "cast(0 as tinyint) as label",
+        )
+        return derive_frame_features(raw)
+
+    path = str(tmp_path / "features")
+    first = shards.write_features(rows(20, 60), path)
+    assert len(list((tmp_path / "features" / "data").glob("**/"))) == 2
+    again = shards.write_features(rows(20, 60), path)
+    assert shards.read_run(spark, path, again).count() == 0 and shards.read_run(spark, path, first).count() == 40
+    # A run that broke off before its manifest is not read.
+    rows(3, 99).write.parquet(path + "/data/run=000009-broken")
+    assert shards.read_features(spark, path).count() == 40
+    assert shards.existing_blocks(spark, path).count() == 20
+    # Written anew, a block is read from its newest run.
+    shards.write_features(rows(40, 70).filter("block_id = 'b7'"), path, skip_existing=False)
+    got = shards.read_features(spark, path).groupBy("block_id", "frame_len").count().collect()
+    assert {(r.block_id, r.frame_len) for r in got if r.frame_len != 60} == {("b7", 70.0)} and len(got) == 20
 
 
 def test_the_first_good_row_decides_on_the_format(spark, root, tmp_path):

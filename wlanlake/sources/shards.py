@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,36 +33,68 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+MANIFEST = "run string, at bigint, session_id string, block_id string, rows bigint"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks of a feature table, one row for each run that wrote them."""
+    place = f"{path}/manifest"
+    return spark.read.schema(MANIFEST).parquet(place) if _exists(spark, place) else spark.createDataFrame([], MANIFEST)
+
+
 def existing_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks a feature table already holds; the block is a folder name, so no column is read."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], "block_id string")
-    return read_features(spark, path).select("block_id").distinct()
+    """Blocks a feature table already holds; only its manifest is read."""
+    return read_manifest(spark, path).select("block_id").distinct()
 
 
-def write_features(df: DataFrame, path: str, *, skip_existing: bool = True) -> None:
-    """Write features by session and block, zstd; blocks already there are left out.
+def write_features(df: DataFrame, path: str, *, skip_existing: bool = True) -> str:
+    """Write the features of whole blocks as one run, zstd, and return the run's name.
 
-    The rows arrive spread by block and tile, so a large block is written by many tasks.
+    A run is a folder of files as its tasks make them, sorted by block, so the folders do not grow with the
+    blocks, and readers of one block pass over files and row groups by their statistics. The rows arrive
+    spread by block and tile, so a large block is written by many tasks. A run counts once its blocks are
+    in the manifest, which is written last: what a broken run left is never read. Blocks that the manifest
+    already holds are left out, so the same write again adds nothing; without ``skip_existing`` they are
+    written anew and the newest run of a block is the one that is read.
     """
     spark = df.sparkSession
-    mode = "append"
+    held = read_manifest(spark, path)
+    at = (held.agg(F.max("at")).first()[0] or 0) + 1
     if skip_existing:
-        df = df.join(existing_blocks(spark, path), "block_id", "left_anti")
-    else:
-        mode = "overwrite"
-    (
-        df.select(*FEATURE_SCHEMA.fieldNames())
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "zstd")
-        .partitionBy("session_id", "block_id")
-        .parquet(path)
-    )
+        df = df.join(held.select("block_id").distinct(), "block_id", "left_anti")
+    run = f"{at:06d}-{uuid.uuid4().hex[:8]}"
+    folder = f"{path}/data/run={run}"
+    df.select(*FEATURE_SCHEMA.fieldNames()).sortWithinPartitions("block_id", "frame_number").write.option(
+        "compression", "zstd"
+    ).parquet(folder)
+    blocks = (
+        spark.read.schema(FEATURE_SCHEMA).parquet(folder)
+        .groupBy("session_id", "block_id")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .select(F.lit(run).alias("run"), F.lit(at).cast("long").alias("at"), "session_id", "block_id", "rows")
+    )
+    blocks.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return run
+
+
+def read_run(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """What one run wrote."""
+    return spark.read.schema(FEATURE_SCHEMA).parquet(f"{path}/data/run={run}")
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FEATURE_SCHEMA).parquet(path)
+    """All blocks, each from the newest run that wrote it."""
+    held = read_manifest(spark, path)
+    newest = held.groupBy("block_id").agg(F.max_by("run", "at").alias("newest"))
+    stale = held.join(newest, "block_id").filter("run != newest").select("run", "block_id")
+    # As many as there were runs.
+    runs = sorted(r["run"] for r in held.select("run").distinct().collect())
+    if not runs:
+        return spark.createDataFrame([], FEATURE_SCHEMA)
+    rows = spark.read.schema(FEATURE_SCHEMA).option("basePath", f"{path}/data").parquet(*[f"{path}/data/run={r}" for r in runs])
+    if stale.head(1):
+        rows = rows.join(stale, ["run", "block_id"], "left_anti")
+    return rows.select(*FEATURE_SCHEMA.fieldNames())
 
 
 def block_label_counts(df: DataFrame) -> DataFrame:
