@@ -46,10 +46,32 @@ def test_scan_reads_only_what_is_used(spark, root):
     assert "unused" not in plan.split("ReadSchema")[1]
 
 
-def test_other_header_in_a_file_is_refused(spark, root):
-    write_capture(root, "1.Deauth", 13, ["60,1,0,1,n,x,Normal"], [HEADER[1], HEADER[0], *HEADER[2:]])
-    with pytest.raises(Exception, match="(?i)header"):
-        scan(spark, root).select("frame_len", "wlan_seq", "frame_number").collect()
+def test_files_with_other_headers_are_read_by_name(spark, root):
+    write_capture(root, "1.Deauth", 13, ["60,5,0,9,n,x,Normal", "62,6,0,10,n,x"], [HEADER[1], HEADER[0], *HEADER[2:]])
+    write_capture(root, "1.Deauth", 14, ["Normal,3,70"], ["Label", "wlan.seq", "frame.len"])
+    write_capture(root, "1.[odd]+ name", 1, ["7,Deauth,8"], ["frame.number", "Label", "frame.number"])
+    (root / "1.Deauth" / "Deauth_15.csv").write_text("")
+    rows = scan(spark, root, malformed=True, place=True)
+    got = {(r.block_id, r.frame_number): r for r in rows.filter("not _malformed").collect()}
+    one = got[("Deauth:0013", 5)]
+    assert (one.frame_len, one.wlan_seq, one.raw_label) == ("60", "9", "Normal")
+    assert [(r.frame_len, r.wlan_seq) for k, r in got.items() if k[0] == "Deauth:0014"] == [("70", "3")]
+    assert [k[1] for k, r in got.items() if k[0].startswith("[odd]+ name") and r.raw_label == "Deauth"] == [7]
+    assert ("Deauth:0012", 8) in got and sum(k[0] == "Deauth:0013" for k in got) == 1
+    assert {r.block_id: r.malformed for r in capture.split_malformed(rows)[1].collect()}["Deauth:0013"] == 1
+
+
+def test_headers_are_read_by_a_task_for_each_file_that_stops(spark, root):
+    write_capture(root, "2.Long", 1, [f"{i},60,0,1,n,x,Normal" for i in range(50_000)])
+    got = capture.header_catalogue(spark, str(root) + "/*/*.csv")
+    assert got.count() == 5 and got.select("header").distinct().count() == 1
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != str(1 << 60)
+
+
+def test_a_file_without_label_is_named(spark, root):
+    write_capture(root, "1.Deauth", 13, ["60,1"], ["frame.len", "frame.number"])
+    with pytest.raises(ValueError, match="no Label column in 1 files.*Deauth_13"):
+        scan(spark, root)
 
 
 def test_malformed_rows_are_counted(spark, root):

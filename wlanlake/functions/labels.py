@@ -52,21 +52,13 @@ def severity(type_col) -> Column:
     return F.coalesce(lookup(spec.SEVERITY_OF, type_col), F.lit("info"))
 
 
+_KEYS = {key: name for name, key in spec.FRONT_KEY_OF.items()}
+_WORDINGS = {wording: _KEYS[key] for wording, key in spec.PHRASE_ALIASES.items() if key in _KEYS}
+
+
 def resolve_class(c) -> Column:
-    """Class named by free text: its key, then a known wording, then a key inside the phrase."""
-    text = strip(c)
-    class_of = {v: k for k, v in spec.FRONT_KEY_OF.items()}
-    loose = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
-    alias = F.coalesce(
-        lookup(spec.PHRASE_ALIASES, loose),
-        lookup(spec.PHRASE_ALIASES, F.replace(loose, F.lit(" "), F.lit(""))),
-    )
-    joined = F.replace(loose, F.lit(" "), F.lit("_"))
-    inside = F.coalesce(
-        *[
-            F.when(joined.rlike(rf"\b{key}\b"), F.lit(name))
-            for name, key in spec.FRONT_KEY_OF.items()
-        ]
-    )
-    found = F.coalesce(lookup(class_of, front_key(text)), lookup(class_of, alias), inside)
-    return F.when(text != "", found)
+    """Class named by free text: by its key, or by a wording whatever stands between the words."""
+    words = F.regexp_extract_all(F.lower(strip(c)), F.lit("([a-z0-9]+)"), F.lit(1))
+    by_key = [lookup(_KEYS, key) for key in (front_key(strip(c)), F.array_join(words, "_"))]
+    by_wording = [lookup(_WORDINGS, F.array_join(words, between)) for between in (" ", "")]
+    return F.coalesce(*by_key, *by_wording)

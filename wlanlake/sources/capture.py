@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wlanlake import spec
+from wlanlake.operators.layout import union_all
 from wlanlake.session import store
 
 CORRUPT = "_corrupt_record"
@@ -22,13 +25,55 @@ def _reader(spark: SparkSession):
         .option("mode", "PERMISSIVE")
         # Python-style quoting: a doubled quote inside a quoted cell.
         .option("escape", '"')
-        # Check every file's own header against the schema by name.
-        .option("enforceSchema", False)
     )
 
 
-def _header(spark: SparkSession, path) -> list[str]:
-    return _reader(spark).csv(path).columns
+def header_catalogue(spark: SparkSession, path) -> DataFrame:
+    """One row per file that is not empty: ``path`` and its first line.
+
+    A task for each file reads the beginning of it and stops; the files are not scanned. A first line
+    goes over one line of text.
+    """
+
+    def first_rows(batches: Iterator) -> Iterator:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    # One split per file and one file per task, for this small read only.
+    wide = {"spark.sql.files.maxPartitionBytes": str(1 << 60), "spark.sql.files.openCostInBytes": str(1 << 60)}
+    before = {k: spark.conf.get(k) for k in wide}
+    for k, v in wide.items():
+        spark.conf.set(k, v)
+    try:
+        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("header"))
+        return store(lines.mapInArrow(first_rows, "path string, header string"), "headers")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _file_path() -> Column:
+    """The path as readers take it: the metadata column has it with percent signs, and a plus is a plus."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _groups(spark: SparkSession, path) -> list[tuple[list[str], object]]:
+    """Distinct headers, each with the paths of its files; with one header these are what was asked for."""
+    files = header_catalogue(spark, path).groupBy("header").agg(
+        F.array_sort(F.collect_list(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))))).alias("paths")
+    )
+    found = [(next(csv.reader([r["header"].lstrip("\ufeff")]), []), r["paths"]) for r in files.orderBy("header").collect()]
+    if not found:
+        raise ValueError("no file with a header")
+    without = sorted(p for header, paths in found if "Label" not in header for p in paths)
+    if without:
+        raise ValueError(f"no Label column in {len(without)} files, {without[0]} for one")
+    if len(found) == 1:
+        return [(found[0][0], path)]
+    # Names that look like a pattern are meant as they stand.
+    return [(header, [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]) for header, paths in found]
 
 
 def _quoted(name: str) -> Column:
@@ -65,20 +110,29 @@ def read_capture_csv(
 ) -> DataFrame:
     """Capture rows as text cells under flat names, with session, block and frame number.
 
-    Only the columns the features consume are parsed; one the file lacks becomes NULL.
+    Only the columns the features consume are parsed; one the file lacks becomes NULL. Files need
+    not agree in their headers: the files of each distinct header are one scan, and columns are
+    found by name. Every file must have a Label.
     With ``malformed`` the scan also carries the flag ``_malformed``, for which every column
     has to be parsed. With ``place`` it carries ``_split`` and ``_line``, by which the rows of a
     file have their order.
     """
-    header = _header(spark, path)
-    if "Label" not in header:
-        raise ValueError("no Label column")
-    schema = ", ".join(f"`{c}` string" for c in header)
+    out = union_all([_scan(spark, header, files, malformed) for header, files in _groups(spark, path)])
+    if skip_sessions:
+        # The session of a folder to skip is the name behind its number.
+        out = out.filter(~F.col("session_id").isin([s.split(".", 1)[-1] for s in skip_sessions]))
+    return out if place else out.drop("_split", "_line")
+
+
+def _scan(spark: SparkSession, header: list[str], files, malformed: bool) -> DataFrame:
+    """Rows of files that share a header. A name that comes again is another column, which nothing asks for."""
+    names = [c if c not in header[:i] else f"{c}#{i}" for i, c in enumerate(header)]
+    schema = ", ".join("`" + c.replace("`", "``") + "` string" for c in names)
     reader = _reader(spark)
     if malformed:
         schema += f", {CORRUPT} string"
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
-    rows = reader.schema(schema).csv(path)
+    rows = reader.schema(schema).csv(files)
     cells = [
         (_quoted(c) if c in header else F.lit(None).cast("string")).alias(spec.flat(c))
         for c in spec.SOURCE_COLUMNS
@@ -91,18 +145,13 @@ def read_capture_csv(
     scanned = rows.select(
         *cells,
         number.alias("frame_number"),
-        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("_path"),
+        _file_path().alias("_path"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_line"),
         *([_is_malformed()] if malformed else []),
     )
     out = with_block_ids(scanned)
-    if skip_sessions:
-        # The session of a folder to skip is the name behind its number.
-        out = out.filter(~F.col("session_id").isin([s.split(".", 1)[-1] for s in skip_sessions]))
-    if "frame.number" not in header:
-        out = _number_by_place(out)
-    return out if place else out.drop("_split", "_line")
+    return out if "frame.number" in header else _number_by_place(out)
 
 
 def _number_by_place(df: DataFrame) -> DataFrame:
@@ -199,19 +248,14 @@ ANALYSIS_PATTERNS = [
 ]
 
 
+_IDENTIFYING = re.compile("|".join(f"(?:{p})" for p in ANALYSIS_PATTERNS), re.IGNORECASE)
+
+
 def analysis_columns(columns: list[str], target: str = "Label") -> list[str]:
-    """Dotted column names an analysis may use: link-layer fields that identify nobody."""
-
-    def allowed(name: str) -> bool:
-        low = name.lower()
-        return (
-            low.startswith(ANALYSIS_PREFIXES)
-            and name not in ANALYSIS_BLOCKED
-            and not any(re.search(p, low) for p in ANALYSIS_PATTERNS)
-        )
-
-    kept = [c for c in columns if c == target or allowed(c)]
-    return kept if target in kept else kept + [target]
+    """Dotted column names an analysis may use: link-layer fields that identify nobody; the target is always one."""
+    link = {c for c in columns if c.lower().startswith(ANALYSIS_PREFIXES)}
+    usable = link - ANALYSIS_BLOCKED - set(filter(_IDENTIFYING.search, link)) | {target}
+    return [*filter(usable.__contains__, columns), *{target}.difference(columns)]
 
 
 def select_analysis_columns(df: DataFrame, target: str = "Label") -> DataFrame:
