@@ -1,4 +1,8 @@
-"""Checks of the block split, training and evaluation jobs."""
+"""Checks of the block split, training and evaluation jobs.
+
+Models are fitted with the library's defaults. No SQL can say what a fitted model answers, so these queries
+give for every row that must be there whether what has to hold for it does.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +11,16 @@ from pyspark.sql import functions as F
 from wlanlake import spec
 from wlanlake.adapters import features, labelled_frames
 from wlanlake.catalog.common import FRAME_KEYS
+from wlanlake.functions.labels import label_id
 from wlanlake.operators import dataset
 from wlanlake.operators.rollups import model_rows_from_raw
 from wlanlake.plans import training
-from wlanlake.session import store
+from wlanlake.session import store, work_dir
 
 QUERIES = {}
 ORACLES = {}
-# Small forests: the checks are about the jobs, not about the scores.
-FIT = {"trees": [8], "depth": 6}
+# The first of the default sizes, where there are no validation rows to choose by.
+FIT = {"trees": [20]}
 COLUMNS = spec.FLAT_MODEL_COLUMNS
 
 
@@ -99,67 +104,175 @@ def _coverage(spark, sf_dir):
     return dataset.split_coverage(counts, dataset.grouped_split(counts))
 
 
-@query("train_multiclass")
+# ---- what must hold for a model's answers ----------------------------------------------------
+
+_TEST = f"WITH {FRAME_KEYS}, sp AS ({ORACLES['grouped_split']}), t AS (SELECT * FROM f0 JOIN sp USING (block_id) WHERE split = 'test')"
+_TEST_ROWS = f"{_TEST} SELECT block_id, event_id AS frame_number, label, TRUE AS holds FROM t"
+
+
+def are_probabilities(p="probability"):
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    return (F.size(p) == training.N_CLASSES) & F.forall(p, lambda x: x.between(0, 1)) & (F.abs(total - 1) < 1e-9)
+
+
+def names_likeliest():
+    """The predicted class is one that no other exceeds."""
+    return F.col("probability")[F.col("prediction")] == F.array_max("probability")
+
+
+def follows_rule(thr1: float = spec.STAGE1_THRESHOLD, thr2: float = spec.STAGE2_THRESHOLD):
+    """The verdict worked out once more, from the probabilities."""
+    attacks = F.array_sort(
+        F.transform(F.slice("probability", 2, len(spec.ATTACK_CLASSES)), lambda x, i: F.struct((-x).alias("p"), i.alias("i")))
+    )
+    best, hot = attacks[0], 1.0 - F.col("probability")[0] >= thr1
+    name = F.array(*[F.lit(c) for c in spec.ATTACK_CLASSES])[best["i"]]
+    v = F.col("verdict")
+    return (
+        (v["stage"] == F.when(hot, 2).otherwise(1))
+        & (v["is_attack"] == (hot & (-best["p"] >= thr2)))
+        & v["label"].eqNullSafe(F.when(hot, name))
+        & are_probabilities()
+    )
+
+
+def keyed(df, holds):
+    return df.select("block_id", "frame_number", F.col("label").cast("int").alias("label"), holds.alias("holds"))
+
+
+@query("train_multiclass", _TEST_ROWS)
 def _multiclass(spark, sf_dir):
+    """Test rows, and whether their probabilities are some and the likeliest class is predicted."""
+    train, val, test = parts(spark, sf_dir)
+    out = training.predict(training.train_multiclass(train, val), test)
+    return keyed(out, are_probabilities() & names_likeliest())
+
+
+@query("train_boosted", _TEST_ROWS)
+def _boosted(spark, sf_dir):
+    """As ``train_multiclass``; the loss on the validation rows must have fallen in every round, too."""
     train, val, test = parts(spark, sf_dir)
-    fitted = training.train_multiclass(train, val, COLUMNS, trees=[4, 8], depth=5)
-    out = training.predict(fitted, test)
-    return out.select("block_id", "frame_number", "label", "prediction")
+    fitted = training.train_boosted(train, val)
+    losses = [x for _, x in fitted.history]
+    falls = all(a > b for a, b in zip(losses, losses[1:]))
+    return keyed(training.predict(fitted, test), are_probabilities() & names_likeliest() & F.lit(falls))
 
 
-@query("train_two_stage")
+@query("model_bundle", f"{_TEST_ROWS} UNION ALL SELECT 'refused', 0, 0, TRUE")
+def _bundle(spark, sf_dir):
+    """Test rows, and whether the stored model answers as the fitted one; a model of other columns is refused."""
+    train, _, test = parts(spark, sf_dir)
+    fitted = training.train_multiclass(train, None, COLUMNS, **FIT)
+    path = training.save_bundle(fitted, work_dir(spark, "bundle"))
+    again, cuts = training.load_bundle(spark, path)
+    both = training.score_frames(fitted, test).withColumnsRenamed({"verdict": "before", "probability": "p", "prediction": "c"})
+    same = F.col("before").eqNullSafe(F.col("verdict")) & (F.col("p") == F.col("probability"))
+    out = keyed(training.score_frames(again, both, *cuts), same)
+    try:
+        training.load_bundle(spark, path, COLUMNS[::-1])
+        refused = False
+    except training.BundleMismatch:
+        refused = True
+    return out.unionByName(
+        spark.createDataFrame([("refused", 0, 0, refused)], "block_id string, frame_number long, label int, holds boolean")
+    )
+
+
+@query("train_two_stage", _TEST_ROWS)
 def _two(spark, sf_dir):
+    """Test rows, and whether stage, class and thresholds of their verdicts agree."""
     train, val, test = parts(spark, sf_dir)
-    fitted = training.train_two_stage(train, val, COLUMNS, rounds=5, depth=3, trees=5)
-    out = training.score_two_stage(fitted, test)
-    return out.select("block_id", "frame_number", F.col("label").cast("int").alias("label"), "verdict")
+    out = training.score_two_stage(training.train_two_stage(train, val), test)
+    v = F.col("verdict")
+    cold = (v["stage"] == 1) & ~v["is_attack"] & v["label"].isNull() & (v["p1"] < spec.STAGE1_THRESHOLD)
+    hot = (
+        (v["stage"] == 2) & (v["p1"] >= spec.STAGE1_THRESHOLD) & v["label"].isin(spec.ATTACK_CLASSES)
+        & v["p2"].between(0, 1) & (v["is_attack"] == (v["p2"] >= spec.STAGE2_THRESHOLD))
+    )
+    return keyed(out, F.coalesce(cold, F.lit(False)) | F.coalesce(hot, F.lit(False)))
 
 
-@query("score_frames")
+@query("score_frames", _TEST_ROWS)
 def _score(spark, sf_dir):
+    """Test rows, and whether their verdicts follow from their probabilities."""
     train, _, test = parts(spark, sf_dir)
     fitted = training.train_multiclass(train, None, COLUMNS, **FIT)
-    return training.score_frames(fitted, test).select("block_id", "frame_number", "verdict")
+    return keyed(training.score_frames(fitted, test), follows_rule())
 
 
-@query("evaluate_split")
+@query(
+    "evaluate_split",
+    f"{_TEST} SELECT CAST(i AS INTEGER) AS label, (SELECT count(*) FROM t WHERE label = i) AS support, TRUE AS holds FROM range(0, 9) c(i)",
+)
 def _evaluate(spark, sf_dir):
+    """Support of each class in the test split, and whether its scores fit together and give the mean."""
     rows, assignment = prepared(spark, sf_dir)
     train = training.rows_by_split(rows, assignment).filter("split = 'train'").drop("split")
-    fitted = training.train_multiclass(train, None, COLUMNS, **FIT)
-    return training.evaluate_split(fitted, rows, assignment)
+    scores = store(training.evaluate_split(training.train_multiclass(train, None, COLUMNS, **FIT), rows, assignment), "scores")
+    mean = scores.agg(F.avg("f1").alias("_mean"))
+    f1 = F.coalesce(F.expr("2 * precision * recall / nullif(precision + recall, 0)"), F.lit(0.0))
+    right = (
+        F.when(F.col("support") == 0, F.col("f1").isNull() & (F.col("absent_false_positives") >= 0))
+        .otherwise(F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & (F.abs(F.col("f1") - f1) < 1e-9))
+    )
+    return scores.crossJoin(mean).select("label", "support", (right & (F.abs(F.col("macro_f1") - F.col("_mean")) < 1e-9)).alias("holds"))
 
 
-@query("leakage_probe")
+@query("leakage_probe", "SELECT * FROM (VALUES ('retrained', TRUE), ('score only', TRUE)) t(probe, holds)")
 def _probe(spark, sf_dir):
+    """Both probes of the most important column, and whether they are of that column and told against one base."""
     train, _, test = parts(spark, sf_dir)
     fitted = training.train_multiclass(train, None, COLUMNS, **FIT)
-    return training.leakage_probe(fitted, train, test, top=1, **FIT)
+    base, top = training.score_of(training.predict(fitted, test)), training.top_features(fitted, 1)[0]
+    found = training.leakage_probe(fitted, train, test, top=1, **FIT)
+    right = (F.col("feature") == top) & F.col("macro_f1").between(0, 1) & (F.abs(F.col("macro_f1") - base - F.col("delta")) < 1e-9)
+    return found.select("probe", right.alias("holds"))
 
 
-@query("feature_importance")
+@query(
+    "feature_importance",
+    "SELECT feature, TRUE AS holds FROM (VALUES " + ", ".join(f"('{c}')" for c in COLUMNS) + ") t(feature)",
+)
 def _importance(spark, sf_dir):
+    """Every model column, and whether importances are shares of one whole that fall with the rank."""
     train, _, _ = parts(spark, sf_dir)
-    return training.feature_importance(training.train_multiclass(train, None, COLUMNS, **FIT))
+    found = store(training.feature_importance(training.train_multiclass(train, None, COLUMNS, **FIT)), "importances")
+    after = found.select((F.col("rank") - 1).alias("rank"), F.col("importance").alias("_next"))
+    total = found.agg(F.sum("importance").alias("_total"))
+    right = (
+        F.col("importance").between(0, 1) & (F.col("importance") >= F.coalesce("_next", F.lit(0.0)))
+        & (F.abs(F.col("_total") - 1) < 1e-9) & F.col("rank").between(1, len(COLUMNS))
+    )
+    return found.join(after, "rank", "left").crossJoin(total).select("feature", right.alias("holds"))
 
 
-@query("stratified_cv")
+@query("stratified_cv", "SELECT CAST(i AS INTEGER) AS fold, TRUE AS holds FROM range(1, 6) t(i)")
 def _cv(spark, sf_dir):
+    """Every fold, and whether scores, mean and deviation fit together."""
     rows, _ = prepared(spark, sf_dir)
-    return training.stratified_cv(rows, COLUMNS, folds=5, trees=[4], depth=5)
+    found = store(training.stratified_cv(rows, COLUMNS, **FIT), "scores")
+    sums = found.agg(F.avg("macro_f1").alias("_m"), F.avg(F.col("macro_f1") * F.col("macro_f1")).alias("_s"))
+    spread = F.sqrt(F.greatest(F.col("_s") - F.col("_m") * F.col("_m"), F.lit(0.0)))
+    right = F.col("macro_f1").between(0, 1) & (F.abs(F.col("mean") - F.col("_m")) < 1e-9) & (F.abs(F.col("std") - spread) < 1e-6)
+    return found.crossJoin(sums).select("fold", right.alias("holds"))
 
 
-@query("shuffled_label_check")
+@query("shuffled_label_check", "SELECT * FROM (VALUES ('true labels', TRUE), ('shuffled labels', TRUE)) t(labels, holds)")
 def _shuffled(spark, sf_dir):
+    """Both scores, and whether permuted labels score below the true ones."""
     train, _, test = parts(spark, sf_dir)
-    return training.shuffled_label_check(train, test, COLUMNS, **FIT)
+    found = store(training.shuffled_label_check(train, test, COLUMNS, **FIT), "scores")
+    pair = found.agg(F.max(F.expr("if(labels = 'true labels', macro_f1, -1)")).alias("_t"), F.max(F.expr("if(labels = 'true labels', -1, macro_f1)")).alias("_s"))
+    return found.crossJoin(pair).select("labels", (F.col("macro_f1").between(0, 1) & (F.col("_t") > F.col("_s"))).alias("holds"))
 
 
-@query("drop_features_retrain")
+@query("drop_features_retrain", "SELECT TRUE AS holds")
 def _dropped(spark, sf_dir):
+    """Whether the model without five columns has a score between 0 and 1."""
     train, _, test = parts(spark, sf_dir)
     gone = ["radio_freq_mhz", "frame_dt", "rsn_country_present", "frame_len", "fc_ds"]
-    return training.drop_features_retrain(train, test, gone, COLUMNS, **FIT)
+    found = training.drop_features_retrain(train, test, gone, COLUMNS, **FIT)
+    return found.select(F.col("macro_f1").between(0, 1).alias("holds"))
 
 
 @query(
@@ -175,11 +288,20 @@ def _contract(spark, sf_dir):
     return training.contract_check(odd)
 
 
-@query("best_segments")
+@query(
+    "best_segments",
+    f"""{_TEST}, n AS (SELECT block_id, label, count(*) AS n FROM t WHERE label > 0 GROUP BY ALL)
+SELECT label, TRUE AS holds FROM n GROUP BY label HAVING max(n) >= 20""",
+)
 def _segments(spark, sf_dir):
+    """Classes with enough attacks in a block of the test split, and whether their stretch lies in one and holds some."""
     rows, assignment = prepared(spark, sf_dir)
-    train = training.rows_by_split(rows, assignment).filter("split = 'train'").drop("split")
-    fitted = training.train_multiclass(train, None, COLUMNS, **FIT)
-    return training.best_segments(
-        fitted, features(spark, sf_dir), assignment, window=64, max_window=256, target=40, min_attacks=5
+    held = training.rows_by_split(rows, assignment)
+    fitted = training.train_multiclass(held.filter("split = 'train'").drop("split"), None, COLUMNS, **FIT)
+    found = training.best_segments(fitted, features(spark, sf_dir), assignment)
+    sizes = held.filter("split = 'test'").groupBy(F.col("block_id").alias("source_block")).agg(F.count(F.lit(1)).alias("_n"))
+    right = (
+        (F.col("lo") >= 0) & (F.col("frames") == F.least("hi", "_n") - F.col("lo")) & (F.col("frames") <= 4096)
+        & F.col("attack_rows").between(1, F.col("frames")) & F.col("correct_pct").between(0, 100)
     )
+    return found.join(sizes, "source_block").select(label_id("class").cast("int").alias("label"), right.alias("holds"))

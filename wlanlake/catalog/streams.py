@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from wlanlake import spec
 from wlanlake.adapters import BSSID, detections, events, labelled_frames
-from wlanlake.catalog.common import rounded, rounded_sql, stamp, stamp_sql, with_detections, with_frames
+from wlanlake.catalog.common import FRAME_KEYS, rounded, rounded_sql, stamp, stamp_sql, with_detections, with_frames
 from wlanlake.catalog.frames import ROLLS, _roll_sql
+from wlanlake.catalog.models import FIT, follows_rule, keyed
 from wlanlake.operators.rollups import model_rows_from_raw
 from wlanlake.plans import training
 from wlanlake.session import store, work_dir
@@ -93,18 +94,20 @@ def _rollups(spark, sf_dir):
 
 def _scorer(spark, sf_dir):
     rows = store(model_rows_from_raw(labelled_frames(spark, sf_dir)), "model_rows")
-    fitted = training.train_multiclass(rows, None, trees=[4], depth=5)
-    return lambda df: training.score_frames(fitted, df, thr2=0.3)
+    fitted = training.train_multiclass(rows, None, **FIT)
+    return lambda df: training.score_frames(fitted, df)
 
 
-@query("stream_score")
+@query("stream_score", f"WITH {FRAME_KEYS} SELECT block_id, event_id AS frame_number, label, TRUE AS holds FROM f0")
 def _score(spark, sf_dir):
+    """All frames, and whether their verdicts follow from their probabilities."""
     paths = run_features(spark, sf_dir, _scorer(spark, sf_dir))
-    return spark.read.parquet(paths.table("scored")).select("block_id", "frame_number", "verdict")
+    return keyed(spark.read.parquet(paths.table("scored")), follows_rule())
 
 
-@query("stream_detect")
+@query("stream_detect", f"WITH {FRAME_KEYS} SELECT event_id AS id, TRUE AS holds FROM f0")
 def _detect(spark, sf_dir):
+    """All frames, and whether exactly those judged an attack are in the packets, once, under the class of the verdict."""
     frames = labelled_frames(spark, sf_dir).withColumns(
         {
             "id": F.col("frame_number"),
@@ -116,7 +119,13 @@ def _detect(spark, sf_dir):
         }
     )
     paths = run_features(spark, sf_dir, _scorer(spark, sf_dir), frames)
-    return spark.read.parquet(paths.table("packets")).drop("batch_id")
+    told = spark.read.parquet(paths.table("packets")).groupBy("id").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("predicted_label").alias("_class")
+    )
+    verdicts = spark.read.parquet(paths.table("scored")).select("id", "verdict")
+    attack = F.col("verdict.is_attack")
+    right = F.when(attack, (F.col("_n") == 1) & (F.col("_class") == F.col("verdict.label"))).otherwise(F.col("_n").isNull())
+    return verdicts.join(told, "id", "left").select("id", F.coalesce(right, F.lit(False)).alias("holds"))
 
 
 _PACKET_SQL = f"SELECT id, {stamp_sql()} AS ts, src_mac, predicted_label FROM detections"

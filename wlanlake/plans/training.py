@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +35,39 @@ N_CLASSES = len(spec.CLASSES)
 ABSENT = -1.0e6
 
 
+@dataclass
+class BoostedClasses:
+    """One boosted ensemble for each class against the rest; their probabilities are normalised."""
+
+    models: list[GBTClassificationModel]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``probability`` (a vector over the classes) and ``prediction``, as other classifiers do."""
+        keep = df.columns
+        for i, model in enumerate(self.models):
+            df = model.setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_p{i}").setPredictionCol(f"_c{i}").transform(df)
+            df = df.withColumn(f"_p{i}", vector_to_array(f"_p{i}")[1]).drop(f"_raw{i}", f"_c{i}")
+        p = F.array(*[F.col(f"_p{i}") for i in range(len(self.models))])
+        total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+        shares = df.select(*keep, F.transform(p, lambda x: x / total).alias("_shares"))
+        best = F.array_position("_shares", F.array_max("_shares")) - 1
+        return shares.withColumns(
+            {"probability": array_to_vector("_shares"), "prediction": best.cast("double"), "rawPrediction": F.lit(None)}
+        ).drop("_shares")
+
+    @property
+    def featureImportances(self) -> np.ndarray:
+        """Mean over the ensembles; one that never splits has none."""
+        each = [m.featureImportances.toArray() for m in self.models]
+        total = np.sum([e for e in each if e.sum() > 0] or each, axis=0)
+        return total / total.sum() if total.sum() > 0 else total
+
+
 @dataclass
 class FrameModel:
     """A fitted classifier and the columns it was fitted on, in order."""
 
-    model: RandomForestClassificationModel | PipelineModel
+    model: RandomForestClassificationModel | PipelineModel | BoostedClasses
     columns: list[str]
     history: list[tuple[int, float]] = field(default_factory=list)
 
@@ -96,6 +130,127 @@ def train_multiclass(
     return FrameModel(best, columns, history)
 
 
+def train_boosted(
+    train: DataFrame,
+    val: DataFrame,
+    columns: list[str] | None = None,
+    *,
+    rounds: int = 40,
+    depth: int = 5,
+    rate: float = 0.1,
+    alpha: float = 0.5,
+    cap: float | None = 100.0,
+    least_gain: float = 0.001,
+    seed: int = 1337,
+    at_once: int = 3,
+) -> FrameModel:
+    """Boosted trees over all classes with capped class weights, each stopped on the validation rows.
+
+    A class is boosted against the rest until its weighted loss on the validation rows no longer falls by
+    ``least_gain``; probabilities of the classes are normalised. ``history`` has, for each round, the mean
+    loss over the classes: an ensemble that has stopped keeps its last loss. ``at_once`` ensembles are
+    fitted side by side. A class without training rows gets an ensemble that never claims it.
+    """
+    columns = columns or spec.FLAT_MODEL_COLUMNS
+    weights = store(dataset.class_weights(train, "label", alpha, cap), "weights")
+    # A class that training lacks has no weight; its validation rows count once.
+    both = train.select("label", *columns).withColumn("_val", F.lit(False)).unionByName(
+        val.select("label", *columns).withColumn("_val", F.lit(True))
+    )
+    known = F.broadcast(weights.select(F.col("label").alias("_label"), "weight"))
+    weighted = both.join(known, F.col("label").cast("int") == F.col("_label"), "left").na.fill(1.0, ["weight"])
+    rows = store(assemble(weighted, columns).select("label", "weight", "features", "_val"), "boosting")
+
+    def fit(i: int) -> tuple[GBTClassificationModel, list[float]]:
+        of_class = rows.withColumn("target", (F.col("label") == i).cast("double"))
+        model = GBTClassifier(
+            labelCol="target", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed,
+            validationIndicatorCol="_val", validationTol=least_gain,
+        ).fit(of_class)
+        return model, model.evaluateEachIteration(of_class.filter("_val"))
+
+    with ThreadPool(at_once) as pool:
+        fitted = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(N_CLASSES))
+    longest = max(len(losses) for _, losses in fitted)
+    padded = [losses + losses[-1:] * (longest - len(losses)) for _, losses in fitted]
+    history = [(r + 1, math.fsum(losses[r] for losses in padded) / N_CLASSES) for r in range(longest)]
+    return FrameModel(BoostedClasses([m for m, _ in fitted]), columns, history)
+
+
+# ---- bundles ------------------------------------------------------------------------------
+
+_KINDS = {"forest": RandomForestClassificationModel, "boosted": GBTClassificationModel}
+
+
+class BundleMismatch(ValueError):
+    """A stored model was made for other columns, classes or thresholds than are asked for."""
+
+
+def save_bundle(
+    fitted: FrameModel, path: str, thr1: float = spec.STAGE1_THRESHOLD, thr2: float = spec.STAGE2_THRESHOLD
+) -> str:
+    """Write a model with all that is needed to use it rightly: columns in order, classes, thresholds, history.
+
+    The contract is written last, so a folder without one is a write that did not end.
+    """
+    boosted = isinstance(fitted.model, BoostedClasses)
+    models = fitted.model.models if boosted else [fitted.model]
+    for i, model in enumerate(models):
+        model.write().save(f"{path}/model={i}")
+    contract = {
+        "kind": "boosted" if boosted else "forest",
+        "models": len(models),
+        "columns": fitted.columns,
+        "classes": list(spec.CLASSES),
+        "absent": ABSENT,
+        "thresholds": [thr1, thr2],
+        "history": [list(h) for h in fitted.history],
+    }
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(json.dumps(contract),)], "value string").coalesce(1).write.text(f"{path}/contract")
+    return path
+
+
+def bundle_faults(contract: dict, columns: list[str] | None = None) -> list[str]:
+    """Why a contract must not be used for the given columns (default: the model columns)."""
+    want, got = columns or spec.FLAT_MODEL_COLUMNS, contract.get("columns", [])
+    faults = []
+    if set(got) != set(want):
+        faults += [f"lacks column {c}" for c in want if c not in got] + [f"asks for column {c}" for c in got if c not in want]
+    elif got != want:
+        i = next(i for i, (a, b) in enumerate(zip(got, want, strict=False)) if a != b)
+        faults.append(f"column {i} is {got[i]}, not {want[i]}")
+    if contract.get("classes") != list(spec.CLASSES):
+        faults.append(f"classes are {contract.get('classes')}")
+    if contract.get("absent") != ABSENT:
+        faults.append(f"absent values are {contract.get('absent')}, not {ABSENT}")
+    cuts = contract.get("thresholds", [])
+    if len(cuts) != 2 or not all(isinstance(t, float) and 0 < t < 1 for t in cuts):
+        faults.append(f"thresholds are {cuts}")
+    kind, n = contract.get("kind"), contract.get("models")
+    if kind not in _KINDS or n != (N_CLASSES if kind == "boosted" else 1):
+        faults.append(f"{n} models of kind {kind}")
+    return faults
+
+
+def read_contract(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/contract").first()["value"])
+
+
+def load_bundle(spark: SparkSession, path: str, columns: list[str] | None = None) -> tuple[FrameModel, tuple[float, float]]:
+    """The model and its two thresholds; refused with every reason when it does not fit."""
+    contract = read_contract(spark, path)
+    faults = bundle_faults(contract, columns)
+    if not faults:
+        models = [_KINDS[contract["kind"]].load(f"{path}/model={i}") for i in range(contract["models"])]
+        faults = [f"model {i} takes {m.numFeatures} columns" for i, m in enumerate(models) if m.numFeatures != len(contract["columns"])]
+    if faults:
+        raise BundleMismatch(f"{path}: " + "; ".join(faults))
+    model = BoostedClasses(models) if contract["kind"] == "boosted" else models[0]
+    history = [(int(n), float(x)) for n, x in contract["history"]]
+    return FrameModel(model, contract["columns"], history), tuple(contract["thresholds"])
+
+
 def predict(fitted: FrameModel, df: DataFrame) -> DataFrame:
     """Rows with ``probability`` (all classes) and ``prediction`` (class id)."""
     kept = assemble(df, fitted.columns)
@@ -181,7 +336,8 @@ def evaluate_split(fitted: FrameModel, rows: DataFrame, assignment: DataFrame, s
 def feature_importance(fitted: FrameModel) -> DataFrame:
     """Columns by importance: one number per column of the model."""
     spark = SparkSession.getActiveSession()
-    weights = fitted.model.featureImportances.toArray().tolist()
+    found = fitted.model.featureImportances
+    weights = (found if isinstance(found, np.ndarray) else found.toArray()).tolist()
     rows = sorted(zip(fitted.columns, weights, strict=True), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(
         [(i + 1, c, float(w)) for i, (c, w) in enumerate(rows)], "rank int, feature string, importance double"
@@ -281,9 +437,11 @@ def contract_check(df: DataFrame, columns: list[str] | None = None, stats: DataF
 
 
 def require_contract(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    faults = contract_check(df, columns).limit(100).collect()
+    found = contract_check(df, columns)
+    faults = found.limit(100).collect()
     if faults:
-        raise ValueError("the feature table breaks its contract:\n" + "\n".join(f"- {tuple(f)}" for f in faults))
+        lines = "\n".join(f"- {tuple(f)}" for f in faults)
+        raise ValueError(f"the feature table breaks its contract in {found.count()} ways, the first ones are:\n{lines}")
     return df
 
 
