@@ -1,6 +1,9 @@
 """The training-data operators: edge cases, and results against brute force or SQL on small tables."""
 
 import collections
+import hashlib
+import itertools
+import math
 import os
 import re
 import zlib
@@ -13,7 +16,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import corpus_pipeline
 from verify import connect, rows_of
-from wlanlake.llm import language, line_crf, packing, rans, warc
+from wlanlake.llm import common, language, line_crf, packing, pairwise_quality, rans, warc
 from wlanlake.llm.components import components
 from wlanlake.llm.exact_dedup import exact_dedup
 from wlanlake.llm.licenses import scan_licenses
@@ -21,6 +24,7 @@ from wlanlake.llm.mixing import mix_sources
 from wlanlake.llm.pairwise_quality import rank_quality
 from wlanlake.llm.parity_join import near_duplicates
 from wlanlake.llm.queries import ORACLES, QUERIES
+from wlanlake.llm.textstats import text_stats
 from wlanlake.llm.tokens import WordEncoder, default_path
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -277,6 +281,114 @@ def test_line_quality(spark, docs, labels, documents, nothing):
     assert line_crf.line_quality(docs, labels.limit(0)).count() == len(ROWS)
 
 
+def plant(spark, folder):
+    """Texts of label 1 with four lines of a text of label 0 behind their fourth line, and the true state of each line."""
+    known = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = documents.select("doc_id", "text").join(known, "doc_id").filter("text <> ''").orderBy("doc_id").collect()
+    good = [r["text"].split("\n") for r in rows if r["quality"] == 1 and r["text"].count("\n") > 6]
+    bad = [r["text"].split("\n")[:4] for r in rows if r["quality"] == 0 and r["text"].count("\n") > 3]
+    chains = [(line_crf.line_features(text_stats([r["text"].encode()])), r["quality"]) for r in rows]
+    planted = [("\n".join(g[:4] + b + g[4:]), [1] * 4 + [0] * 4 + [1] * (len(g) - 4)) for g, b in zip(good, bad)]
+    return chains, planted
+
+
+def test_boilerplate_inside_of_content_is_found_line_by_line(spark):
+    # The smallest tables have too few labelled texts to plant in.
+    chains, planted = plant(spark, "/root/testdata/sf0.01")
+    assert len(planted) > 20
+    model = line_crf.fit_lines(chains)
+    wrong = lines = 0
+    for text, truth in planted:
+        states = model.viterbi(line_crf.line_features(text_stats([text.encode()])))
+        assert 0 < states.mean() < 1
+        wrong += int((states != np.array(truth)).sum())
+        lines += len(truth)
+    assert wrong <= 0.1 * lines
+
+
+def test_kept_equals_the_words_on_the_best_path(spark, docs, labels, monkeypatch):
+    rng = np.random.default_rng(11)
+    fixed = line_crf.LineModel(rng.normal(size=(14, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    monkeypatch.setattr(line_crf, "fit_lines", lambda chains: fixed)
+    got = {(r["doc_id"], r["n_lines"], r["n_words"]): r for r in line_crf.line_quality(docs, labels).collect()}
+    tried = 0
+    for row in docs.select("doc_id", "text").collect():
+        stats = text_stats([(row["text"] or "").encode()])
+        x = line_crf.line_features(stats)
+        if not 1 <= len(x) <= 8:
+            continue
+
+        def worth(path):
+            moves = sum(fixed.move[a, b] for a, b in zip(path, path[1:]))
+            return fixed.start[path[0]] + moves + sum((x @ fixed.emit)[t, s] for t, s in enumerate(path))
+
+        best = max(itertools.product((0, 1), repeat=len(x)), key=worth)
+        words = stats.lines["words"]
+        share = float((words * np.array(best)).sum() / max(words.sum(), 1))
+        r = got[(row["doc_id"], len(x), int(words.sum()))]
+        assert r["content_share"] == pytest.approx(share) and r["n_content_lines"] == sum(best)
+        assert r["kept"] == (not r["base_failed"] and share >= 0.5)
+        tried += 1
+    assert tried > 3
+
+
+def test_gradient_of_the_marginal_likelihood():
+    """Against differences of the likelihood summed over all paths."""
+    rng = np.random.default_rng(5)
+    n, width, mark = 4, 3, 1.2
+    x, y = rng.normal(size=(1, n, width)), np.array([[0, 1, 1, 0]])
+    x[0, :, line_crf.NO_WORDS] = [0, 0, 1, 0]
+    weights = [rng.normal(size=(width, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)]
+
+    def loss(emit, move, start):
+        def total(bonus):
+            worth = []
+            for path in itertools.product((0, 1), repeat=n):
+                v = start[path[0]] + sum(move[a, b] for a, b in zip(path, path[1:]))
+                v += sum((x[0] @ emit)[t, s] for t, s in enumerate(path))
+                worth.append(v + bonus * sum(path[t] == y[0, t] and x[0, t, line_crf.NO_WORDS] == 0 for t in range(n)))
+            return np.logaddexp.reduce(worth)
+
+        return total(0.0) - total(mark)
+
+    got = line_crf._gradient(x, np.ones((1, n)), y, mark, *weights)
+    for k, w in enumerate(weights):
+        for at in np.ndindex(w.shape):
+            up, down = [v.copy() for v in weights], [v.copy() for v in weights]
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert got[k][at] == pytest.approx((loss(*up) - loss(*down)) / 2e-5, abs=1e-5)
+
+
+def test_a_hash_sample_is_the_smallest_keys(spark):
+    rows = spark.range(5000).selectExpr("id as doc_id", "id % 7 as x")
+    got = [r["doc_id"] for r in common.hash_sample(rows, 200, "doc_id", seed="s", ties=("x",)).collect()]
+    want = sorted(range(5000), key=lambda i: hashlib.md5(f"s:{i}".encode()).hexdigest())[:200]
+    assert sorted(got) == sorted(want)
+    assert common.hash_sample(rows, 9000, "doc_id", seed="s").count() == 5000
+    assert common.hash_sample(rows.limit(0), 5, "doc_id", seed="s").count() == 0
+
+
+def test_scores_equal_weights_added_one_by_one():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(int)
+    model = pairwise_quality.fit_pairs(x, y)
+    for row, score in zip(x[:40], model.score(x[:40])):
+        raw = sum(w[sum(v >= e for e in edges)] for v, edges, w in zip(row, model.edges, model.weights))
+        z = model.slope * (raw - model.cut) + math.log(0.3 / 0.7)
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
+    assert (model.score(x) >= 0.3).mean() == pytest.approx(y.mean(), abs=0.02)
+
+
+def test_short_texts_leave_little_room(spark):
+    short = spark.range(3000).selectExpr("id as doc_id", "'the cat sat on a mat' as text")
+    rows = packing.pack(short).agg(F.countDistinct("sequence_id").alias("n"), F.sum("length").alias("ids")).first()
+    assert rows["n"] <= -(-rows["ids"] // 4096) + 1
+    assert packing.rounding({7: 3000}, 4096, 0.015) == 1 and packing.rounding({4096: 5}, 4096, 0.015) == 16
+
+
 def test_viterbi_equals_all_paths():
     rng = np.random.default_rng(3)
     model = line_crf.LineModel(rng.normal(size=(4, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))

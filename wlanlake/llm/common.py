@@ -39,6 +39,20 @@ def order_key(*cols, seed: str = "") -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *parts).cast("binary"))
 
 
+def hash_sample(df: DataFrame, most: int, *cols, seed: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """At most ``most`` rows, those with the smallest ``order_key``; ``df`` is read twice.
+
+    A threshold that follows from the number of rows goes first, so a partition hands on its share of the
+    sample and not ``most`` rows. It is six deviations wide; ties of the key are ordered by ``ties``.
+    """
+    n = df.count()
+    share = most / max(n, 1)
+    rows = df.withColumn("_key", order_key(*cols, seed=seed))
+    if share < 1:
+        rows = rows.filter(unit_hash(*cols, seed=seed) < min(1.0, share + 6 * (share / n) ** 0.5))
+    return rows.orderBy("_key", *ties).limit(most).drop("_key")
+
+
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Adds the place (from 0) of each row in the whole order, by a range sort.
 

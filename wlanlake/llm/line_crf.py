@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wlanlake.llm.common import order_key
+from wlanlake.llm.common import hash_sample
 from wlanlake.llm.shingles import in_parts
 from wlanlake.llm.textstats import Stats, share, text_stats
 from wlanlake.llm.tokens import texts_of
@@ -20,6 +21,10 @@ QUALITY = (
 )
 
 
+# Place of the feature that says a line has no words.
+NO_WORDS = 1
+
+
 def line_features(stats: Stats) -> np.ndarray:
     """A row for each line, values from 0 to about 1."""
     x = stats.lines
@@ -72,32 +77,56 @@ class LineModel:
         return np.array(states[::-1])
 
 
-def fit_lines(chains: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> LineModel:
-    """Maximum likelihood by gradient steps (Adam); a chain is the features of a text's lines and its label.
+def spliced(chains: list[tuple[np.ndarray, int]], seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Chains with a mark for each line: every text as it is, and with a stretch of one of the other label put into it.
 
-    All lines of a text have its label: the field learns from features where labels of texts are mixed.
+    Texts are labelled whole, so they show no change from content to boilerplate; these show some. The
+    stretch is a fifth to a half as long as the text, and begins anywhere.
+    """
+    rng = np.random.default_rng(seed)
+    marked = [(f, np.full(len(f), y)) for f, y in chains]
+    of = [[m for m, (_, y) in zip(marked, chains) if y == k] for k in (0, 1)]
+    if not all(of):
+        return marked
+    for (f, s), (_, y) in zip(list(marked), chains):
+        g, t = of[1 - y][rng.integers(len(of[1 - y]))]
+        n = min(len(g), max(1, int(len(f) * rng.uniform(0.2, 0.5))))
+        at, first = rng.integers(len(f) + 1), rng.integers(len(g) - n + 1)
+        marked.append((np.concatenate([f[:at], g[first : first + n], f[at:]]), np.concatenate([s[:at], t[:n], s[at:]])))
+    return marked
+
+
+def fit_lines(
+    chains: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.1, penalty: float = 1e-3, trust: float = 0.9
+) -> LineModel:
+    """Marginal likelihood by gradient steps (Adam); a chain is the features of a text's lines and its label.
+
+    The field is fitted on the texts and on splices of texts of both labels (``spliced``). States of lines
+    are hidden: a label is a noisy mark of each line of its text that has words, right with probability
+    ``trust``, so a line that looks like those of the other label may be one of them.
     """
     width = chains[0][0].shape[1] if chains else 14
     emit, move, start = np.zeros((width, 2)), np.zeros((2, 2)), np.zeros(2)
     if not chains:
         return LineModel(emit, move, start)
-    chains = sorted(chains, key=lambda c: len(c[0]))
+    chains = sorted(spliced(chains), key=lambda c: len(c[0]))
     groups = []
     for at in range(0, len(chains), 256):
         part = chains[at : at + 256]
         longest = len(part[-1][0])
         x = np.zeros((len(part), longest, width))
-        on = np.zeros((len(part), longest))
-        for k, (f, _) in enumerate(part):
+        on, y = np.zeros((len(part), longest)), np.zeros((len(part), longest))
+        for k, (f, marks) in enumerate(part):
             x[k, : len(f)] = f
             on[k, : len(f)] = 1
-        groups.append((x, on, np.array([y for _, y in part])))
+            y[k, : len(f)] = marks
+        groups.append((x, on, y))
     weights = [emit, move, start]
     slow, fast = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for step in range(1, rounds + 1):
         grads = [penalty * w for w in weights]
         for x, on, y in groups:
-            one = _gradient(x, on, y, *weights)
+            one = _gradient(x, on, y, math.log(trust / (1 - trust)), *weights)
             grads = [g + o / len(chains) for g, o in zip(grads, one)]
         for w, g, s, f in zip(weights, grads, slow, fast):
             s += 0.1 * (g - s)
@@ -106,10 +135,9 @@ def fit_lines(chains: list[tuple[np.ndarray, int]], rounds: int = 150, rate: flo
     return LineModel(*weights)
 
 
-def _gradient(x, on, y, emit, move, start):
-    """Expected minus seen counts of a group of padded chains, by the forward-backward sums."""
-    docs, longest, _ = x.shape
-    scores = x @ emit
+def _sums(scores, on, move, start):
+    """Probabilities of the states of padded chains, and the expected number of moves, by forward-backward sums."""
+    docs, longest, _ = scores.shape
     add = lambda z, axis: np.logaddexp.reduce(z, axis=axis)
     ahead = np.zeros((docs, longest, 2))
     ahead[:, 0] = scores[:, 0] + start
@@ -122,18 +150,18 @@ def _gradient(x, on, y, emit, move, start):
         behind[:, t] = np.where(on[:, t + 1, None] > 0, step, 0)
     total = add(ahead[:, -1], 1)
     state = np.exp(ahead + behind - total[:, None, None]) * on[:, :, None]
-    seen = np.zeros_like(state)
-    seen[np.arange(docs), :, y] = on
-    g_emit = np.einsum("dtf,dts->fs", x, state - seen)
-    g_move = np.zeros((2, 2))
-    if longest > 1:
-        pair = ahead[:, :-1, :, None] + move + (scores[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        live = on[:, 1:, None, None]
-        g_move = (np.exp(np.minimum(pair, 0)) * live).sum(axis=(0, 1))
-        for s in (0, 1):
-            g_move[s, s] -= live[y == s].sum()
-    g_start = state[:, 0].sum(axis=0) - np.bincount(y, minlength=2)
-    return g_emit, g_move, g_start
+    if longest == 1:
+        return state, np.zeros((2, 2))
+    pair = ahead[:, :-1, :, None] + move + (scores[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None]
+    return state, (np.exp(np.minimum(pair, 0)) * on[:, 1:, None, None]).sum(axis=(0, 1))
+
+
+def _gradient(x, on, y, mark, emit, move, start):
+    """Expected counts without the marks minus those with them, of a group of padded chains."""
+    scores = x @ emit
+    told = scores + (mark * on * (1 - x[:, :, NO_WORDS]))[:, :, None] * np.stack([y == 0, y == 1], axis=2)
+    (free, free_moves), (held, held_moves) = _sums(scores, on, move, start), _sums(told, on, move, start)
+    return np.einsum("dtf,dts->fs", x, free - held), free_moves - held_moves, (free - held)[:, 0].sum(axis=0)
 
 
 def training_chains(
@@ -141,7 +169,7 @@ def training_chains(
 ) -> list[tuple[np.ndarray, int]]:
     """Line features of at most ``fit_rows`` hash-chosen labelled texts of up to ``fit_lines_most`` lines."""
     known = labels.groupBy(id_col).agg(F.max(label_col).alias("label")).filter("label is not null")
-    chosen = known.withColumn("_key", order_key(id_col, seed="lines")).orderBy("_key").limit(fit_rows).drop("_key")
+    chosen = hash_sample(known, fit_rows, id_col, seed="lines")
     few = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")) <= fit_lines_most
     rows = docs.select(id_col, F.col(text_col).alias("text")).filter(few).join(chosen, id_col).select("text", "label")
 
@@ -180,8 +208,8 @@ def line_quality(
     Lines are labelled content or boilerplate by Viterbi decoding; a text is kept when content lines have
     at least ``least_content`` of its words and the base rules hold: 10 words or more, and at most 20 % of
     the words in 5-word windows that the text has twice or more. The field is fitted on at most
-    ``fit_rows`` labelled texts of at most ``fit_lines_most`` lines, chosen by hash of the id; any other
-    text is labelled whole, however long.
+    ``fit_rows`` labelled texts, chosen by hash of the id among all; those of more than ``fit_lines_most``
+    lines take no part in the fit. Every text is labelled whole, however long.
 
     Null and empty texts have no words and fail the base rules. Without labelled texts all lines count as
     content. A null id is kept; rows that repeat an id are rows of their own. An empty table gives no

@@ -151,6 +151,18 @@ class Seats:
         return at[:, 2] + nth // at[:, 1], at[:, 3] + nth % at[:, 1]
 
 
+def rounding(lengths: dict[int, int], length: int, most: float, coarsest: int = 256) -> int:
+    """The coarsest unit, a power of two of which ``coarsest`` fill a sequence at least, that costs little.
+
+    Rounding lengths up to it may add a share of ``most`` to all ids; where each coarser one adds more, it is 1.
+    """
+    total = sum(n * k for k, n in lengths.items())
+    unit = 1 << max((length // coarsest).bit_length() - 1, 0)
+    while unit > 1 and (length % unit or sum(n * (-k % unit) for k, n in lengths.items()) > most * total):
+        unit //= 2
+    return unit
+
+
 def pack(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -158,13 +170,14 @@ def pack(
     path: str | None = None,
     end_id: int = 2,
     length: int = 4096,
-    unit: int = 16,
+    most_lost: float = 0.015,
     seed: str = "pack",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Documents longer than a sequence are cut into whole sequences and a rest. Lengths are rounded up to
-    ``unit`` and counted (at most length / unit counts, whatever the input); a linear program over
+    Documents longer than a sequence are cut into whole sequences and a rest. Pieces are counted by length
+    (at most ``length`` counts, whatever the input) and lengths rounded up to a unit that adds no more
+    than a share of ``most_lost`` to all ids, so short texts keep their exact lengths. A linear program over
     patterns of these lengths, with columns priced by a knapsack, says which patterns to use how often.
     Pieces are ranked within their length in hash-random order by running totals, and the rank picks
     sequence and slot; offsets follow from the pieces' true lengths.
@@ -175,10 +188,12 @@ def pack(
     """
     pieces = store(
         token_pieces(df, id_col, text_col, path or default_path(), end_id, length)
-        .withColumn("size", F.ceil(F.col("length") / unit).cast("long"))
         .withColumn("_key", order_key("doc_id", "start", seed=seed)),
         "pieces",
     )
+    lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    unit = rounding(lengths, length, most_lost)
+    pieces = pieces.withColumn("size", F.ceil(F.col("length") / unit).cast("long"))
     counts = pieces.groupBy("size").agg(F.count(F.lit(1)).alias("rows_in_group"))
     seats = Seats(packing_plan({r["size"]: r["rows_in_group"] for r in counts.collect()}, length // unit))
 
