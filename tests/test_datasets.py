@@ -354,6 +354,39 @@ def test_training_learns_a_simple_rule_and_loses_it_on_shuffled_labels(spark):
     assert check["true labels"] > 0.99 and check["shuffled labels"] < 0.6
 
 
+def test_boosted_classes_and_their_bundle(spark, tmp_path):
+    names = ["signal", "noise"]
+    rows = spark.range(600).selectExpr(
+        "id", "float(pmod(hash(id), 3)) as signal", "float(pmod(hash(id, 7), 11)) as noise", "cast(pmod(hash(id), 3) as int) as label"
+    )
+    train, val = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0")
+    # A class that training never saw is no reason to lose its validation rows.
+    val = val.withColumn("label", F.expr("if(id = 0, 8, label)"))
+    fitted = training.train_boosted(train, val, names, rounds=4, depth=2)
+    losses = [x for _, x in fitted.history]
+    assert len(losses) > 1 and all(a > b for a, b in zip(losses, losses[1:]))
+    out = training.predict(fitted, train).collect()
+    assert all(len(r.probability) == training.N_CLASSES and sum(r.probability) == pytest.approx(1) for r in out)
+    assert all(r.prediction == r.label for r in out)
+    assert sorted(fitted.model.models) == [0, 1, 2] and all(r.probability[8] == 0 for r in out)
+    assert training.top_features(fitted, 1) == ["signal"]
+
+    path = training.save_bundle(fitted, str(tmp_path / "bundle"))
+    again, cuts = training.load_bundle(spark, path, names)
+    assert cuts == (spec.STAGE1_THRESHOLD, spec.STAGE2_THRESHOLD) and again.history == fitted.history
+    assert [r.probability for r in training.predict(again, train).orderBy("id").collect()] == [
+        r.probability for r in training.predict(fitted, train).orderBy("id").collect()
+    ]
+    with pytest.raises(training.BundleMismatch, match="column 0 is signal, not noise"):
+        training.load_bundle(spark, path, names[::-1])
+    with pytest.raises(training.BundleMismatch, match="lacks column third.*asks for column noise"):
+        training.load_bundle(spark, path, ["signal", "third"])
+    contract = training.read_contract(spark, path)
+    for change in ({"classes": ["Normal"]}, {"thresholds": [0.4, 1.5]}, {"kind": "tree"}, {"models": []}, {"absent": 0.0}):
+        assert len(training.bundle_faults(contract | change, names)) == 1
+    assert training.bundle_faults(contract, names) == []
+
+
 def test_rank_correlation_with_a_constant_column(spark):
     df = spark.createDataFrame([(1.0, 3.0, 7.0), (2.0, 2.0, 7.0), (3.0, 1.0, 7.0)], "x double, y double, k double")
     got = {(r.a, r.b): r.rho for r in quality.spearman(df, ["x", "y", "k"]).collect()}

@@ -37,17 +37,20 @@ ABSENT = -1.0e6
 
 @dataclass
 class BoostedClasses:
-    """One boosted ensemble for each class against the rest; their probabilities are normalised."""
+    """One boosted ensemble for each class against the rest; their probabilities are normalised.
 
-    models: list[GBTClassificationModel]
+    A class that training lacked has none, and probability 0.
+    """
+
+    models: dict[int, GBTClassificationModel]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``probability`` (a vector over the classes) and ``prediction``, as other classifiers do."""
         keep = df.columns
-        for i, model in enumerate(self.models):
+        for i, model in self.models.items():
             df = model.setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_p{i}").setPredictionCol(f"_c{i}").transform(df)
             df = df.withColumn(f"_p{i}", vector_to_array(f"_p{i}")[1]).drop(f"_raw{i}", f"_c{i}")
-        p = F.array(*[F.col(f"_p{i}") for i in range(len(self.models))])
+        p = F.array(*[F.col(f"_p{i}") if i in self.models else F.lit(0.0) for i in range(N_CLASSES)])
         total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
         shares = df.select(*keep, F.transform(p, lambda x: x / total).alias("_shares"))
         best = F.array_position("_shares", F.array_max("_shares")) - 1
@@ -58,7 +61,7 @@ class BoostedClasses:
     @property
     def featureImportances(self) -> np.ndarray:
         """Mean over the ensembles; one that never splits has none."""
-        each = [m.featureImportances.toArray() for m in self.models]
+        each = [m.featureImportances.toArray() for m in self.models.values()]
         total = np.sum([e for e in each if e.sum() > 0] or each, axis=0)
         return total / total.sum() if total.sum() > 0 else total
 
@@ -149,11 +152,10 @@ def train_boosted(
     A class is boosted against the rest until its weighted loss on the validation rows no longer falls by
     ``least_gain``; probabilities of the classes are normalised. ``history`` has, for each round, the mean
     loss over the classes: an ensemble that has stopped keeps its last loss. ``at_once`` ensembles are
-    fitted side by side. A class without training rows gets an ensemble that never claims it.
+    fitted side by side. A class without training rows gets no ensemble; its validation rows count once.
     """
     columns = columns or spec.FLAT_MODEL_COLUMNS
     weights = store(dataset.class_weights(train, "label", alpha, cap), "weights")
-    # A class that training lacks has no weight; its validation rows count once.
     both = train.select("label", *columns).withColumn("_val", F.lit(False)).unionByName(
         val.select("label", *columns).withColumn("_val", F.lit(True))
     )
@@ -169,12 +171,15 @@ def train_boosted(
         ).fit(of_class)
         return model, model.evaluateEachIteration(of_class.filter("_val"))
 
+    classes = sorted(r["label"] for r in weights.collect())
+    if not classes:
+        raise ValueError("no training rows")
     with ThreadPool(at_once) as pool:
-        fitted = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(N_CLASSES))
-    longest = max(len(losses) for _, losses in fitted)
-    padded = [losses + losses[-1:] * (longest - len(losses)) for _, losses in fitted]
-    history = [(r + 1, math.fsum(losses[r] for losses in padded) / N_CLASSES) for r in range(longest)]
-    return FrameModel(BoostedClasses([m for m, _ in fitted]), columns, history)
+        found = pool.map(inheritable_thread_target(rows.sparkSession)(fit), classes)
+    longest = max(len(losses) for _, losses in found)
+    padded = [losses + losses[-1:] * (longest - len(losses)) for _, losses in found]
+    history = [(r + 1, math.fsum(losses[r] for losses in padded) / len(padded)) for r in range(longest)]
+    return FrameModel(BoostedClasses({i: m for i, (m, _) in zip(classes, found)}), columns, history)
 
 
 # ---- bundles ------------------------------------------------------------------------------
@@ -194,12 +199,12 @@ def save_bundle(
     The contract is written last, so a folder without one is a write that did not end.
     """
     boosted = isinstance(fitted.model, BoostedClasses)
-    models = fitted.model.models if boosted else [fitted.model]
-    for i, model in enumerate(models):
+    models = fitted.model.models if boosted else {0: fitted.model}
+    for i, model in models.items():
         model.write().save(f"{path}/model={i}")
     contract = {
         "kind": "boosted" if boosted else "forest",
-        "models": len(models),
+        "models": list(models),
         "columns": fitted.columns,
         "classes": list(spec.CLASSES),
         "absent": ABSENT,
@@ -227,9 +232,9 @@ def bundle_faults(contract: dict, columns: list[str] | None = None) -> list[str]
     cuts = contract.get("thresholds", [])
     if len(cuts) != 2 or not all(isinstance(t, float) and 0 < t < 1 for t in cuts):
         faults.append(f"thresholds are {cuts}")
-    kind, n = contract.get("kind"), contract.get("models")
-    if kind not in _KINDS or n != (N_CLASSES if kind == "boosted" else 1):
-        faults.append(f"{n} models of kind {kind}")
+    kind, models = contract.get("kind"), contract.get("models") or []
+    if kind not in _KINDS or not models or not set(models) <= set(range(N_CLASSES if kind == "boosted" else 1)):
+        faults.append(f"models {models} of kind {kind}")
     return faults
 
 
@@ -242,8 +247,8 @@ def load_bundle(spark: SparkSession, path: str, columns: list[str] | None = None
     contract = read_contract(spark, path)
     faults = bundle_faults(contract, columns)
     if not faults:
-        models = [_KINDS[contract["kind"]].load(f"{path}/model={i}") for i in range(contract["models"])]
-        faults = [f"model {i} takes {m.numFeatures} columns" for i, m in enumerate(models) if m.numFeatures != len(contract["columns"])]
+        models = {i: _KINDS[contract["kind"]].load(f"{path}/model={i}") for i in contract["models"]}
+        faults = [f"model {i} takes {m.numFeatures} columns" for i, m in models.items() if m.numFeatures != len(contract["columns"])]
     if faults:
         raise BundleMismatch(f"{path}: " + "; ".join(faults))
     model = BoostedClasses(models) if contract["kind"] == "boosted" else models[0]
