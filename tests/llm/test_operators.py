@@ -422,6 +422,29 @@ def test_rank_quality(spark, docs, labels, documents, nothing):
     assert len({r["score"] for r in rank_quality(docs, labels.limit(0)).collect()}) == 1
 
 
+def test_rank_quality_learns_from_every_label(spark):
+    # Texts with a mark, all of label 0, are those of the last hashes: the first 20,000 rows have none.
+    ids = [i for i in range(30000) if zlib.crc32(str(i).encode()) % 5]
+    marked = sorted(ids, key=lambda i: hashlib.md5(f"rank:{i}".encode()).hexdigest())[20000:]
+    assert len(marked) > 3000
+    kinds = spark.createDataFrame([(i,) for i in marked], "doc_id long").withColumn("marked", F.lit(True))
+    rows = spark.range(30000).withColumnRenamed("id", "doc_id").join(kinds, "doc_id", "left")
+    texts = rows.selectExpr("doc_id", "if(marked, 'alpha beta gamma!', 'alpha beta gamma') as text")
+    told = rows.selectExpr("doc_id", "if(marked or doc_id % 10 = 0, 0, 1) as quality")
+    scores = rank_quality(texts, told).join(kinds, "doc_id", "left").groupBy("marked").agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    got = {r["marked"]: r for r in scores.collect()}
+    assert got[True]["high"] < 0.3 <= got[None]["low"]
+
+
+def test_column_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=1501), rng.integers(5, size=1501).astype(float)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    got = pairwise_quality.column_quantiles(df, ["a", "b"], [0.0, 0.07, 0.5, 0.91, 1.0])
+    for name, x in (("a", a), ("b", b)):
+        assert got[name] == pytest.approx(np.quantile(x, [0.0, 0.07, 0.5, 0.91, 1.0]))
+
+
 def test_language_evidence(spark, docs, documents, nothing):
     rows = language.identify_documents(docs).collect()
     assert len(rows) == len(ROWS)
