@@ -436,6 +436,16 @@ def test_rank_quality_learns_from_every_label(spark):
     assert got[True]["high"] < 0.3 <= got[None]["low"]
 
 
+def test_every_row_is_in_a_pair(spark):
+    for n_bad in (1, 5, 60):
+        rows = [(i, int(i >= n_bad), bytes([i])) for i in range(100)]
+        binned = spark.createDataFrame(rows, "doc_id long, label int, bins binary")
+        pairs = pairwise_quality.preference_pairs(binned, 100 - n_bad, n_bad, 8).collect()
+        assert len(pairs) == pairwise_quality.pairs_of(100 - n_bad, n_bad, 8) == {1: 99, 5: 95, 60: 320}[n_bad]
+        assert {p["bad"][0] for p in pairs} == set(range(n_bad))
+        assert {p["good"][0] for p in pairs} == set(range(n_bad, 100))
+
+
 def test_column_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=1501), rng.integers(5, size=1501).astype(float)

@@ -176,20 +176,33 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> d
 
 
 def preference_pairs(binned: DataFrame, n_good: int, n_bad: int, pairs_each: int) -> DataFrame:
-    """(good, bad) bins of pairs: each text of the rarer label meets ``pairs_each`` of the other, drawn by hash.
+    """(good, bad) bins of pairs in which every row takes part, ``pairs_of`` in number.
 
-    ``binned`` has doc_id, label and bins. Texts of the other label are numbered in hash order.
+    ``binned`` has doc_id, label and bins. Texts of each label are numbered in hash order. Those of the rarer
+    one meet the next ``pairs_each`` of the other, around and around; where that would not reach all of the
+    other, each of these meets one of the rarer.
     """
     keyed = binned.withColumn("_key", order_key("doc_id", seed="rank"))
+    sizes = {0: n_bad, 1: n_good}
     rare = 0 if n_bad <= n_good else 1
-    numbered = global_rank(keyed.filter(F.col("label") != rare), F.col("_key"), F.col("bins"), name="place")
+    each = pairs_each if sizes[rare] * pairs_each >= sizes[1 - rare] else 1
+    base = rare if each > 1 else 1 - rare
+
+    def numbered(label: int, name: str) -> DataFrame:
+        own = global_rank(keyed.filter(F.col("label") == label), F.col("_key"), F.col("bins"), name="place")
+        return own.select("place", F.col("bins").alias(name))
+
+    names = {0: "bad", 1: "good"}
     drawn = (
-        keyed.filter(F.col("label") == rare)
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(pairs_each))))
-        .select(F.col("bins").alias("own"), F.pmod(F.xxhash64("_key", "draw"), F.lit(max(n_good, n_bad))).alias("place"))
+        numbered(base, names[base])
+        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
+        .withColumn("place", F.pmod(F.col("place") * each + F.col("draw"), F.lit(sizes[1 - base])))
     )
-    met = drawn.join(numbered.select("place", F.col("bins").alias("met")), "place")
-    return met.select(F.col("met" if rare == 0 else "own").alias("good"), F.col("own" if rare == 0 else "met").alias("bad"))
+    return drawn.join(numbered(1 - base, names[1 - base]), "place").select("good", "bad")
+
+
+def pairs_of(n_good: int, n_bad: int, pairs_each: int) -> int:
+    return max(n_good, n_bad, min(n_good, n_bad) * pairs_each)
 
 
 def _total_sums(pairs: DataFrame, w: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +235,7 @@ def fit_all(told: DataFrame, bins: int = 12, pairs_each: int = 8, penalty: float
 
     Newton steps on the logistic loss of feature differences between preferred and other texts; the
     threshold is the quantile of the scores that leaves below it as many texts as have label 0. Edges of the
-    bins and the threshold are exact quantiles of all rows, and each step sums over all pairs; the driver sees
+    bins and the threshold are exact quantiles of all rows, each row is in a pair, each step sums over all pairs; the driver sees
     the edges and, per step, sums whose number follows from the bins alone.
     """
     sizes = told.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 0).alias("bad"), F.max(F.size("x")).alias("k")).first()
@@ -244,7 +257,7 @@ def fit_all(told: DataFrame, bins: int = 12, pairs_each: int = 8, penalty: float
 
     binned = store(told.select("doc_id", "label", "x").mapInArrow(put, "doc_id long, label int, bins binary"), "bins")
     pairs = store(preference_pairs(binned, n - n_bad, n_bad, pairs_each), "pairs")
-    w = newton(lambda w: _total_sums(pairs, w, features), min(n - n_bad, n_bad) * pairs_each, int(_places(edges)[-1]), penalty)
+    w = newton(lambda w: _total_sums(pairs, w, features), pairs_of(n - n_bad, n_bad, pairs_each), int(_places(edges)[-1]), penalty)
     model = _model(edges, w)
 
     def raw(batches: Iterator) -> Iterator:
