@@ -299,6 +299,28 @@ def test_rank_by_hash_is_a_permutation(spark):
         assert [m[2] for m in mine] == list(range(n))
 
 
+def test_rank_by_hash_deals_no_rows_by_the_group_alone(spark, capsys):
+    df = spark.range(600).select("id", F.when(F.col("id") < 500, 1).otherwise(2).alias("g"), F.rand(1).alias("wide"))
+    df = df.withColumn("h", F.xxhash64("id"))
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = rank_by_hash(df, "h", "id", by=["g"])
+        got.explain("formatted")
+        rows = got.collect()
+    finally:
+        for c, value in kept.items():
+            spark.conf.set(c, value)
+    steps = [s for s in capsys.readouterr().out.split("\n\n") if ") Exchange" in s]
+    wide = [s for s in steps if "wide#" in s or "_others#" in s]
+    assert wide and all("_slice#" in s.split("hashpartitioning(")[1] for s in wide)
+    assert got.columns == ["g", "id", "wide", "h", "n_group", "rk"]
+    for g, n in ((1, 500), (2, 100)):
+        mine = [r for r in rows if r.g == g]
+        assert [r.rk for r in sorted(mine, key=lambda r: (r.h, r.id))] == list(range(n)) and {r.n_group for r in mine} == {n}
+
+
 def test_exact_quantiles_with_a_hot_value(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([np.full(4000, 7.0), rng.normal(0, 100, 5000), rng.integers(0, 5, 1000).astype(float)])
