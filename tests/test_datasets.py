@@ -399,3 +399,21 @@ def test_only_a_missing_path_counts_as_nothing(spark, tmp_path):
     (tmp_path / "part.parquet").write_bytes(b"not a table")
     with pytest.raises(Exception):
         shards._exists(spark, str(tmp_path))
+
+
+def test_few_values_are_broadcast(spark, monkeypatch):
+    rows = [(float(i % 3), float((i * 7919) % 101), None if i % 9 == 0 else float(i % 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    columns, hints, plain = ["x", "y", "z"], [], quality.F.broadcast
+    monkeypatch.setattr(quality.F, "broadcast", lambda d: hints.append(d.columns) or plain(d))
+
+    def found(few):
+        monkeypatch.setattr(quality, "FEW_VALUES", few)
+        hints.clear()
+        got = {(r.a, r.b): round(r.rho, 9) for r in quality.spearman(df, columns).collect()}
+        return got, {c for names in hints for c in names if c.startswith("_x_")}
+
+    dealt, none = found(0)
+    mixed, few = found(10)
+    assert none == set() and few == {"_x_x", "_x_z"}
+    assert dealt == mixed and len(mixed) == 9

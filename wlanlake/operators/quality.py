@@ -86,19 +86,26 @@ def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     return _long(wide, spread, ["outlier_pct"])
 
 
+FEW_VALUES = 50_000
+
+
 def _rank_correlations(df: DataFrame, columns: list[str]) -> list[tuple[str, str, float]]:
     """Rank correlation of every two columns over rows that have all of them.
 
-    Values are ranked, not rows: each column meets the table of its distinct values, which
-    the planner broadcasts when it is small and otherwise splits where a value is very common.
+    Values are ranked, not rows: each column meets the table of its distinct values. A column of at
+    most ``FEW_VALUES`` gets them broadcast, as its rows would otherwise be dealt to as few tasks as
+    it has values; others are dealt by value, after all that need not be.
     """
     ranks = store(average_ranks(df, columns), "ranks")
+    # One row per column.
+    distinct = {r["feature"]: r["count"] for r in ranks.groupBy("feature").count().collect()}
     ranked = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    for c in columns:
+    for c in sorted(columns, key=lambda c: distinct.get(c, 0)):
         of_column = ranks.filter(F.col("feature") == c).select(
             F.col("x").alias(f"_x_{c}"), F.col("rank").alias(f"_rank_{c}")
         )
-        ranked = ranked.join(of_column, F.col(c) == F.col(f"_x_{c}"))
+        few = distinct.get(c, 0) <= FEW_VALUES
+        ranked = ranked.join(F.broadcast(of_column) if few else of_column, F.col(c) == F.col(f"_x_{c}"))
     pairs = list(combinations(columns, 2))
 
     def rho(a: str, b: str) -> Column:
