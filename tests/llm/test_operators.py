@@ -622,3 +622,24 @@ def test_a_large_group_whose_hub_is_far_from_most_is_joined_in_rounds(spark, mon
     assert collections.Counter(map(tuple, got)) == brute_components(cases)
     # Far fewer pairs than the 180,000 of the group are compared.
     assert sum(offers) < 20 * len(cases)
+
+
+def test_token_files_take_each_text_once(spark):
+    taken = spark.sparkContext.accumulator(0)
+
+    def text(k):
+        taken.add(1)
+        return f"word {k}"
+
+    df = spark.range(50).select(F.col("id").alias("doc_id"), F.udf(text, "string").asNondeterministic()("id").alias("text"))
+    got = rans.token_files(df).collect()
+    assert len(got) == 50
+    assert taken.value == 50
+
+
+def test_ids_of_two_and_of_four_bytes():
+    import pyarrow as pa
+
+    ids = [np.array([2, 65535], "<u2").tobytes(), np.array([2, 65536], "<u4").tobytes()]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([False, True])], ["ids", "wide"])
+    assert [x.tolist() for x in rans.ids_of(batch)] == [[2, 65535], [2, 65536]]

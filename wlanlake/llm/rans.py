@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wlanlake.llm.tokens import default_path, texts_of, word_encoder
-from wlanlake.session import work_dir
+from wlanlake.session import store, work_dir
 
 SCALE_BITS = 20
 LOW = 1 << 32
@@ -186,24 +186,47 @@ def read_blocks(raw: bytes) -> Iterator[Block]:
         at += size + 1
 
 
-def token_counts(df: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """How often each id occurs in all documents; at most the vocabulary comes to the driver."""
+def token_ids(df: DataFrame, path: str, end_id: int) -> DataFrame:
+    """One row per document: doc_id, its ids with the end id, and whether they take four bytes each or two."""
 
-    def count(batches: Iterator) -> Iterator:
+    def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         encoder = word_encoder(path)
+        end = np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            ids = [np.frombuffer(own + end, "<u4") for own in encoder.encode(texts_of(batch))]
+            wide = [int(own.max()) >= 1 << 16 for own in ids]
+            ids = [own.astype("<u4" if w else "<u2").tobytes() for own, w in zip(ids, wide)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(wide, pa.bool_())], ["doc_id", "ids", "wide"]
+            )
+
+    return df.select("doc_id", "text").mapInArrow(work, "doc_id long, ids binary, wide boolean")
+
+
+def ids_of(batch) -> list[np.ndarray]:
+    """The ids of each row of ``token_ids``."""
+    rows = zip(batch.column("ids").to_pylist(), batch.column("wide").to_pylist())
+    return [np.frombuffer(ids, "<u4" if wide else "<u2").astype("<u4") for ids, wide in rows]
+
+
+def token_counts(ids: DataFrame, end_id: int) -> np.ndarray:
+    """How often each id occurs in all rows of ``token_ids``; at most the vocabulary comes to the driver."""
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         total = np.zeros(end_id + 1, np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(encoder.encode(texts_of(batch))), "<u4"), minlength=len(total))
+            got = np.bincount(np.concatenate([np.zeros(0, "<u4"), *ids_of(batch)]), minlength=len(total))
             if len(got) > len(total):
                 total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
             total += got
-            total[end_id] += batch.num_rows
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["id", "n"])
 
-    rows = df.select("text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = ids.select("ids", "wide").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r["id"] for r in rows], default=end_id) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -229,12 +252,13 @@ def write_tokens(
 ) -> None:
     """Writes all documents, each with the end id, in ascending order of their ids.
 
-    The first pass counts the ids; then documents are sorted by range, one file for each range. A block
-    is closed behind the document that reaches ``block_tokens``; a longer document is one block.
+    Texts are tokenized once: their ids are stored, counted, and sorted by range, one file for each range. A
+    block is closed behind the document that reaches ``block_tokens``; a longer document is one block.
     """
     path = path or default_path()
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = token_counts(docs, path, end_id)
+    stored = store(token_ids(docs, path, end_id), "ids")
+    counts = token_counts(stored, end_id)
     freq = scaled(counts)
     spark = df.sparkSession
     table_bytes = Table(freq).to_bytes()
@@ -243,22 +267,19 @@ def write_tokens(
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder, table = word_encoder(path), Table.from_bytes(table_bytes)
-        end = np.array([end_id], "<u4").tobytes()
+        table = Table.from_bytes(table_bytes)
         file, block = TaskContext.get().partitionId(), 0
         names, tokens, ids, n = [], [], [], 0
 
         def close():
-            joined = np.frombuffer(b"".join(ids), "<u4")
-            value = block_bytes(names, joined, tokens, table, file, block, lanes, stride)
+            value = block_bytes(names, np.concatenate(ids), tokens, table, file, block, lanes, stride)
             return pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], ["value"])
 
         for batch in batches:
-            for doc, own in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch))):
-                own += end
+            for doc, own in zip(batch.column("doc_id").to_pylist(), ids_of(batch)):
                 names.append(doc)
                 ids.append(own)
-                tokens.append(len(own) // 4)
+                tokens.append(len(own))
                 n += tokens[-1]
                 if n >= block_tokens:
                     yield close()
@@ -267,7 +288,7 @@ def write_tokens(
             yield close()
 
     files = max(1, -(-int(counts.sum()) // file_tokens))
-    ordered = docs.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
+    ordered = stored.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first()
     )
     write_records(ordered.mapInArrow(encode, "value binary"), f"{folder}/blocks")
