@@ -10,13 +10,14 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import corpus_pipeline
 from verify import connect, rows_of
-from wlanlake.llm import common, language, line_crf, packing, pairwise_quality, rans, warc
+from wlanlake.llm import common, language, line_crf, packing, pairwise_quality, parity_join, rans, warc
 from wlanlake.llm.components import components
 from wlanlake.llm.exact_dedup import exact_dedup
 from wlanlake.llm.licenses import scan_licenses
@@ -624,6 +625,27 @@ def test_a_large_group_whose_hub_is_far_from_most_is_joined_in_rounds(spark, mon
     assert sum(offers) < 20 * len(cases)
 
 
+def test_far_members_of_a_large_group_are_linked(spark):
+    """Texts that only just link with the near copies of a group, and not with each other."""
+    rng = np.random.default_rng(3)
+    base = [f"b{k}" for k in range(400)]
+    cases = []
+    for k in range(60):
+        words, edits = list(base), 1 if k % 3 else 11
+        for at in rng.choice(400, size=edits, replace=False):
+            words[at] = f"x{rng.integers(10**9)}"
+        cases.append((k, " ".join(words)))
+    df = spark.createDataFrame(cases, "doc_id long, text string")
+    got = near_duplicates(df, small_group=2).select("doc_id", "n_shingles", "component_id").collect()
+    assert collections.Counter(map(tuple, got)) == brute_components(cases)
+    bits = np.array([[0] * 16, [-(1 << 63)] * 3 + [1] * 13])
+    members = pd.DataFrame(
+        {"key": 1, "node": [5, 6], "n": 200, "label": [5, 6], "block": 0, "lo": 0, "hi": 0, "cursor": -(1 << 63), "bits": list(bits)}
+    )
+    # 16 bits apart, signs among them.
+    assert parity_join._offered(members, 16)[["a", "b"]].values.tolist() == [[5, 6]]
+
+
 def test_token_files_take_each_text_once(spark):
     taken = spark.sparkContext.accumulator(0)
 
